@@ -438,11 +438,10 @@ def with_repeats(found: DataFrame) -> DataFrame:
         lines.join(counts, "key", "left")
         .groupBy("mail_id", "version", "block")
         .agg(*(F.avg(F.when(kind == k, logs)).alias(f"r{k}") for k in range(3)))
+        .toDF("m", "v", "b", "r0", "r1", "r2")
     )
-    same = [found[c].eqNullSafe(sums[c]) for c in ("mail_id", "version", "block")]
-    return found.join(sums, same[0] & same[1] & same[2]).select(
-        found["mail_id"], found["version"], found["block"], "lines", "label", F.concat("features", F.array("r0", "r1", "r2")).alias("features")
-    )
+    same = F.col("mail_id").eqNullSafe(F.col("m")) & F.col("version").eqNullSafe(F.col("v")) & F.col("block").eqNullSafe(F.col("b"))
+    return found.join(sums, same).select("mail_id", "version", "block", "lines", "label", F.concat("features", F.array("r0", "r1", "r2")).alias("features"))
 
 
 def not_new(mails: DataFrame, sample: int = SAMPLE) -> DataFrame:
