@@ -7,9 +7,13 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructType
 
 from siltwork.schemas import ENTITY_TYPES
 
+CLAIMS = ArrayType(StructType().add("text", StringType()).add("quote", StringType()))
+ENTITIES = ArrayType(StructType().add("name", StringType()).add("type", StringType()))
+
 
 def salvage(text: str | None):
     """The JSON value of an answer: as it stands, without its fence, else its outermost array, else its outermost object."""
@@ -67,16 +71,16 @@ def read_verdict(text: str | None) -> bool:
     return bool(value.get("same")) if isinstance(value, dict) else False
 
 
-@F.pandas_udf("array<struct<text:string,quote:string>>")
+@F.pandas_udf(CLAIMS)
 def claims_of(answer: pd.Series) -> pd.Series:
     return answer.map(read_claims)
 
 
-@F.pandas_udf("array<struct<name:string,type:string>>")
+@F.pandas_udf(ENTITIES)
 def entities_of(answer: pd.Series) -> pd.Series:
     return answer.map(read_entities)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def same_of(answer: pd.Series) -> pd.Series:
     return answer.map(read_verdict)

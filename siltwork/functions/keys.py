@@ -15,8 +15,9 @@ def note_id(kind: Column | str, digest: Column) -> Column:
 
 
 def claim_id(digest: Column, ordinal: Column) -> Column:
-    """claim-<first 8 of the hash>-<two digits>, ordinals from 0."""
-    return F.concat(F.lit("claim-"), F.substring(digest, 1, 8), F.lit("-"), F.lpad(ordinal.cast("string"), 2, "0"))
+    """claim-<first 8 of the hash>-<at least two digits>, ordinals from 0."""
+    digits = F.concat(F.when(ordinal < 10, "0").otherwise(""), ordinal.cast("string"))
+    return F.concat(F.lit("claim-"), F.substring(digest, 1, 8), F.lit("-"), digits)
 
 
 def key_digest(key: dict) -> str:
@@ -26,7 +27,7 @@ def key_digest(key: dict) -> str:
 
 def json_text(c: Column) -> Column:
     """A text as a JSON string: quotes and backslashes escaped, null as null."""
-    escaped = F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\"), '"', r"\\\\\"")
+    escaped = F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\"), '"', r'\\"')
     return F.coalesce(F.concat(F.lit('"'), escaped, F.lit('"')), F.lit("null"))
 
 

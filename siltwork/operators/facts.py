@@ -32,7 +32,7 @@ def run_summary(attested: DataFrame, by: str) -> DataFrame:
 
 def accumulate(facts: DataFrame, by: str, what: list[str], *order: str) -> DataFrame:
     """(by, items, n): the facts of each key as one list in order of arrival."""
-    item = F.struct(*order, *what)
+    item = F.struct(*order, *(c for c in what if c not in order))
     listed = F.array_sort(F.collect_list(item))
     return facts.groupBy(by).agg(F.transform(listed, lambda x: F.struct(*(x[c].alias(c) for c in what))).alias("items"), F.count(F.lit(1)).alias("n"))
 

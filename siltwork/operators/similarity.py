@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltwork.operators.graph import components
+from siltwork.session import cut
 
 #: Queries and rows of a block; a task holds one block of each.
 QUERIES, ROWS = 1024, 8192
@@ -74,11 +75,12 @@ def leaders(items: DataFrame, near: DataFrame, id_: str = "item", k: int = 5) ->
     items it is linked to, so that connected components of the links are worked on apart and give exactly the outcome of
     one pass over all. Items without a link lead themselves without being moved.
     """
-    linked = components(near.select("a", "b"))
+    linked = cut(components(near.select("a", "b")), "linked")
+    ends = linked.toDF("start", "root")
     kind = items.schema[id_].dataType.simpleString()
-    member = items.join(linked, items[id_] == linked["node"]).select("root", F.col(id_).alias("item"), "ord")
+    member = items.join(linked, F.col(id_) == F.col("node")).select("root", F.col(id_).alias("item"), "ord")
     both = near.select("a", "b", "distance").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
-    links = both.join(linked, both["a"] == linked["node"]).select("root", "a", "b", "distance")
+    links = both.join(ends, F.col("a") == F.col("start")).select("root", "a", "b", "distance")
 
     def run(key, group: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
         around: dict = {}
