@@ -93,6 +93,7 @@ class Line:
     signature_box: bool = False
     shows: bool = False
     zone: str = ""
+    marks: int = 0
 
 
 @dataclass
@@ -124,7 +125,7 @@ def plain_lines(body: str) -> list[Line]:
     out = []
     for i, raw in enumerate(body.split("\n"), 1):
         depth, text = unprefixed(raw.replace("\r", "").replace(" ", " "))
-        out.append(Line(i, text, depth, False, any(map(str.isalnum, text))))
+        out.append(Line(i, text, depth, False, any(map(str.isalnum, text)), marks=depth))
     return out
 
 
@@ -155,7 +156,7 @@ def html_lines(body: str) -> list[Line]:
         text = entities.unescape("".join(shown)).replace(" ", " ").replace("\r", "")
         depth, text = unprefixed(text)
         boxes = boxes or (sum(q for _, q, _ in open_), any(s for _, _, s in open_))
-        out.append(Line(i, text, depth + boxes[0], boxes[1], any(map(str.isalnum, text))))
+        out.append(Line(i, text, depth + boxes[0], boxes[1], any(map(str.isalnum, text)), marks=depth))
     return out
 
 
@@ -246,9 +247,19 @@ def intro_end(lines: list[Line], i: int) -> int:
     return i
 
 
+def unquote_amounts(lines: list[Line]) -> None:
+    """A mark before a figure on a line alone ("> 40 percent of …") says "more than"; it quotes nothing."""
+    shown = [x for x in lines if x.text]
+    for above, x, below in zip([None, *shown], shown, [*shown[1:], None]):
+        alone = (above is None or not above.depth) and (below is None or not below.depth)
+        if x.depth == 1 and x.marks == 1 and alone and x.text[0].isdigit() and not (above and above.text.endswith(":")):
+            x.depth = x.marks = 0
+
+
 def lay_out(mail: Mail) -> None:
     """Give every line its zone: new, quote, intro, history, signature, device, disclaimer, notice or postscript."""
     lines = mail.lines
+    unquote_amounts(lines)
     n = len(lines)
     zone, i, since_blank = "new", 0, True
     while i < n:
