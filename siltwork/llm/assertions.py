@@ -158,7 +158,7 @@ def alike(a: str, b: str) -> float:
 
 
 #: Least ratio at which two words are one word, misspelled.
-SPELLING = 0.66
+SPELLING = 0.7
 _frames = sorted(w for w in PLAIN | UP | DOWN if len(w) >= 4)
 
 
