@@ -54,7 +54,7 @@ LATIN = frozenset(
     ultricies urna ut varius vehicula vel velit venenatis vestibulum vitae vivamus viverra volutpat vulputate""".split()
 )
 # Words that stand for nothing: test words, empty values, marks of work to be done.
-BLANK = frozenset("foo bar baz qux test tests testing null nan none undefined nil asdf qwerty xxx tbd tba todo fixme wip n a na blah oops whoops ups hoppla sorry".split())
+BLANK = frozenset("foo bar baz qux test tests testing null nan none undefined nil object asdf qwer qwerty xxx tbd tba todo fixme wip n a na blah oops whoops ups hoppla sorry".split())
 # Words of a page's navigation.
 NAVIGATION = frozenset(
     """menu search home about archive archives letters podcasts contact topics latest help sign in log out login subscribe
@@ -67,10 +67,10 @@ PHRASES = """
 your text goes here|your text here|text goes here|content goes here|replace this paragraph|replace this text|sample paragraph|sample text
 placeholder caption|placeholder text|placeholder title|placeholder image|click to edit|body copy to follow|copy to follow|text to follow
 dummy content|dummy text|filler text|add a short description|add a description|delete before publishing|for layout only|lorem ipsum
-description to come|content coming soon|insert text|enter your text|edit this block|section title
+description to come|content coming soon|something went wrong|went wrong on our|enter a title|enter a headline|insert text|enter your text|edit this block|section title
 titre de la section|description à venir|votre texte ici|remplacez ce paragraphe|texte à venir|texte de remplissage|texte factice
 título de la sección|texto de relleno|escribe aquí tu texto|su texto aquí|tu texto aquí|descripción pendiente|sustituya este párrafo
-blindtext|platzhalter|ihr text hier|hier steht ihr text|text folgt|beschreibung folgt|diesen absatz ersetzen|abschnittstitel|titel des abschnitts
+blindtext|platzhalter|überschrift eingeben|text eingeben|titel eingeben|ihr text hier|hier steht ihr text|text folgt|beschreibung folgt|diesen absatz ersetzen|abschnittstitel|titel des abschnitts
 javascript|java script|noscript|scripting|enable scripts|requires scripts|needs scripts|scripts are|your browser|this browser|supported browser
 besoin de scripts|les scripts|benötigt skripte|skripte sind|necesita scripts|los scripts|votre navigateur|tu navegador|su navegador|ihrem browser|ihr browser
 enable cookies|cookies are
@@ -98,6 +98,8 @@ NAME = r"[\p{Lu}][\p{L}.'’\-]+(?:[  ]+[\p{Lu}][\p{L}.'’\-]*){1,3}"
 BYLINE = regex.compile(
     rf"(?i:by|written by|words by|text by|hosted by|edited by|reported by|presented by|produced by|von|ein text von|text von|text|moderation|par|écrit par|un texte de|texte|présenté par|animé par|por|escrito por|un texto de|texto de|presenta|presentado por)[ :]+{NAME}(?:,? .{{0,60}})?|{NAME} ?\| ?\p{{Ll}}[\p{{L}} ]{{2,30}}"
 )
+#: Such words written together, several of them or one again and again.
+BLANKS = regex.compile(f"(?:{'|'.join(sorted((w for w in BLANK if len(w) > 2), key=len, reverse=True))}|x{{2,}})+")
 BYLINE_CHARS = 160
 ID = regex.compile(r"\b(?=[0-9a-f\-]*\d)[0-9a-f]{6,40}(?:-[0-9a-f]{1,40})*\b", regex.I)
 #: Characters at a line's head that tell most running text from filler.
@@ -124,9 +126,9 @@ def empty_sentence(text: str, told: bool = True) -> bool:
     words = [w.lower() for w in WORDS(ID.sub(" ", text))]
     if not words:
         return True
-    known = sum(w in BLANK for w in words)
-    if known == len(words):
-        return True
+    if words[0] in BLANK or BLANKS.match(words[0]):
+        if all(w in BLANK or BLANKS.fullmatch(w) for w in words):
+            return True
     if len(words) <= 4 and ID.search(text):
         return True
     if sum(w in LATIN for w in words) >= 0.8 * len(words) and len(words) >= 2:
