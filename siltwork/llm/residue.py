@@ -100,12 +100,12 @@ BYLINE = regex.compile(
 )
 #: Such words written together, several of them or one again and again.
 BLANKS = regex.compile(f"(?:{'|'.join(sorted((w for w in BLANK if len(w) > 2), key=len, reverse=True))}|x{{2,}})+")
+#: Characters of the longest line that can be a byline.
 BYLINE_CHARS = 160
 ID = regex.compile(r"\b(?=[0-9a-f\-]*\d)[0-9a-f]{6,40}(?:-[0-9a-f]{1,40})*\b", regex.I)
-#: Characters at a line's head that tell most running text from filler.
-PEEK = 90
 SENTENCES = regex.compile(r"(?<=[.!?…])\s+|\s+[|·>•]\s+|\t+|\s{3,}").split
-WORDS = regex.compile(r"[\p{L}\p{M}][\p{L}\p{M}'’\-]*").findall
+_word = regex.compile(r"[\p{L}\p{M}][\p{L}\p{M}'’\-]*")
+WORDS, WORD = _word.findall, _word.search
 
 
 @lru_cache(maxsize=1)
@@ -146,13 +146,16 @@ def empty_line(line: str, told: bool = True) -> bool:
         return True
     if len(line) <= BYLINE_CHARS and BYLINE.fullmatch(line.strip("*#•–-> ").rstrip(" .!|→…")):
         return True
-    head = [w.lower() for w in WORDS(line[:PEEK])]
-    if not told and len(head) > 5 and sum(w in LATIN for w in head) < 0.4 * len(head) and not all(w in NAVIGATION for w in head):
+    start = WORD(line)
+    if start and start.group().lower() in NAVIGATION:
+        words = WORDS(line)
+        if len(words) > 1 and all(w.lower() in NAVIGATION for w in words):
+            return True
+    # Most lines are told by their first sentence; the others are cut only if that one is set aside.
+    first, *rest = SENTENCES(line, 1)
+    if first and not empty_sentence(first, told):
         return False
-    words = WORDS(line)
-    if len(words) > 1 and all(w.lower() in NAVIGATION for w in words):
-        return True
-    return all(empty_sentence(x, told) for x in SENTENCES(line) if x)
+    return all(empty_sentence(x, told) for x in SENTENCES(rest[0]) if x) if rest else True
 
 
 def template(line: str) -> tuple[str, list[str]]:
