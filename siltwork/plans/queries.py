@@ -416,7 +416,7 @@ def entity_slugs(s, d):
 
 
 def leader_clusters(s, d):
-    """Claims by their vectors, in order of delivery, around leaders within 0.6; the pairs come from the search."""
+    """Vectors in order of their ids around leaders within 1.2; the links are those of the query set's neighbours."""
     v = table(s, d, "embeddings").select("vec_id", "embedding")
     near = similarity.knn(v.where("vec_id % 100 = 0"), v, 5, 1.2, "vec_id").select(F.least("query", "item").alias("a"), F.greatest("query", "item").alias("b"), "distance").distinct()
     return similarity.leaders(v.select("vec_id", F.col("vec_id").alias("ord")), near, "vec_id")
