@@ -15,7 +15,7 @@ TITLE_CHARS = 120
 
 def strip(c: Column) -> Column:
     """Without white space at both ends, line ends included."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, r"^\s+|(?<!\s)\s+$", "")
 
 
 def filled(c: Column) -> Column:
@@ -30,9 +30,10 @@ def canonical_url(c: Column) -> Column:
 
 def without_boilerplate(c: Column) -> Column:
     """A newsletter without its web-view, redirect and unsubscribe boilerplate, with at most one blank line in a row."""
-    for pattern in (VIEW_ON_WEB, REDIRECT, UNSUBSCRIBE):
+    # Looking back keeps a long run of blanks from being tried from each of its places.
+    for pattern in (VIEW_ON_WEB, REDIRECT.replace(r"\s*", r"(?<!\s)\s*", 1), UNSUBSCRIBE):
         c = F.regexp_replace(c, pattern, "")
-    c = F.regexp_replace(c, r"[ \t]+\n", "\n")
+    c = F.regexp_replace(c, r"(?<![ \t])[ \t]+\n", "\n")
     return strip(F.regexp_replace(c, r"\n{3,}", "\n\n"))
 
 

@@ -25,6 +25,11 @@ def test_newsletter(spark):
     assert one(spark, "no link", T.canonical_url) is None
 
 
+def test_long_runs_of_blanks_take_no_longer(spark):
+    long = "a" + " " * 400_000 + "b\n" + "\t" * 400_000 + "[x]"
+    assert one(spark, long, T.without_boilerplate).startswith("a ")
+
+
 @pytest.mark.parametrize("text, n", [("a b\tc\n d", 4), ("", 0), (None, 0), ("  ", 0)])
 def test_word_count(spark, text, n):
     assert one(spark, text, T.word_count) == n
