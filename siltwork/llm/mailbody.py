@@ -43,6 +43,8 @@ INTRO = regex.compile(
     r"(?:on|at|am|le|el|il|den|vom)\b.*\d.*\b(?:wrote|writes|said|schrieb|écrit|escribió|dijo)\b.*:|.{2,120}(?:\b(?:wrote|writes|said|schrieb|a écrit|escribió)\b)[^.!?]{0,60}(?:\(?\d{1,4}[./-]\d{1,2}[./-]\d{1,4}\)?)?\s?:",
     regex.I,
 )
+#: An introducing line is no longer than this.
+INTRO_CHARS = 400
 STARTS = regex.compile(r"(?:on|at|am|le|el|il|den|vom)\b.*\d", regex.I)
 VERB = regex.compile(r"\b(?:wrote|writes|said|schrieb|écrit|escribió|dijo)\b", regex.I)
 CLOSING = regex.compile(
@@ -69,12 +71,12 @@ DISCLAIMER = regex.compile(
     regex.I,
 )
 NOTICE = regex.compile(
-    r"\[?external\]?(?: e?mail)?\b.*(?:outside|links|sender)|^\[external\]|^caution\b|sender not verified|came from outside|careful with links|scanned (?:for|by)\b|checked for (?:viruses|threats)|virus[- ]free|mailing list|leave this list|unsubscribe|you get this because|reply above this line|list-?(?:info|archive)|manage your (?:subscription|preferences)"
+    r"\[?external\]?(?: e?mail)?\b.{0,120}(?:outside|links|sender)|^\[external\]|^caution\b|sender not verified|came from outside|careful with links|scanned (?:for|by)\b|checked for (?:viruses|threats)|virus[- ]free|mailing list|leave this list|unsubscribe|you get this because|reply above this line|list-?(?:info|archive)|manage your (?:subscription|preferences)"
     r"|externe e-?mail|absender nicht|auf viren|verteiler|abmelden|expéditeur (?:externe|non vérifié)|courriel externe|liste de diffusion|désabonner|désinscri|correo externo|remitente no verificado|lista de correo|darse de baja",
     regex.I,
 )
-EMAIL = regex.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+")
-CONTACT = regex.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+|https?://\S+|www\.\S+|☎|(?:\b(?:t|tel|phone|fax|mobile|mob|m|f)\b\.?:?\s*)?\+?\d[\d\s()/-]{5,}\d|^\d{1,4} [\p{Lu}][\p{L}]+ [\p{L}]+,", regex.I)
+EMAIL = regex.compile(r"(?<![\w.+-])[\w.+-]{1,64}@[\w-]{1,63}(?:\.[\w-]{1,63}){1,9}")
+CONTACT = regex.compile(r"(?<![\w.+-])[\w.+-]{1,64}@[\w-]{1,63}\.[\w-]|https?://\S+|www\.\S+|☎|(?:\b(?:t|tel|phone|fax|mobile|mob|m|f)\b\.?:?\s*)?\+?\d[\d\s()/-]{5,}\d|^\d{1,4} [\p{Lu}][\p{L}]+ [\p{L}]+,", regex.I)
 SEPARATOR = regex.compile(r"(?:[-_=*~#–—]\s?){1,}")
 PREFIX = regex.compile(r"\s{0,3}(?:[>|]\s{0,2})+")
 TAG = regex.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)([^>]*)>|<!--.*?-->")
@@ -239,6 +241,8 @@ def intro_end(lines: list[Line], i: int) -> int:
         if j > i and x.text.endswith(":") and INTRO.fullmatch(x.text) and len(WORDS(text)) > 4 and not STARTS.match(text):
             return i
         text = f"{text} {x.text}".strip()
+        if len(text) > INTRO_CHARS:
+            return i
         if text.endswith(":"):
             told = INTRO.fullmatch(text) and VERB.search(text)
             return j + 1 if told and (regex.search(r"\d|@", text) or len(WORDS(text)) <= 6) else i

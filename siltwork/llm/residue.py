@@ -99,7 +99,7 @@ BYLINE = regex.compile(
     rf"(?i:by|written by|words by|text by|hosted by|edited by|reported by|presented by|produced by|von|ein text von|text von|text|moderation|par|écrit par|un texte de|texte|présenté par|animé par|por|escrito por|un texto de|texto de|presenta|presentado por)[ :]+{NAME}(?:,? .{{0,60}})?|{NAME} ?\| ?\p{{Ll}}[\p{{L}} ]{{2,30}}"
 )
 #: Such words written together, several of them or one again and again.
-BLANKS = regex.compile(f"(?:{'|'.join(sorted((w for w in BLANK if len(w) > 2), key=len, reverse=True))}|x{{2,}})+")
+BLANKS = regex.compile(f"(?:{'|'.join(sorted((w for w in BLANK if len(w) > 2 and w != 'xxx'), key=len, reverse=True))}|x{{2,}}+)++")
 #: Characters of the longest line that can be a byline.
 BYLINE_CHARS = 160
 ID = regex.compile(r"\b(?=[0-9a-f\-]*\d)[0-9a-f]{6,40}(?:-[0-9a-f]{1,40})*\b", regex.I)

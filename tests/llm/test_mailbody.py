@@ -55,6 +55,11 @@ def test_whole_operator(spark, rows):
     assert 9001 not in texts and 9002 not in texts
 
 
+def test_long_lines_take_no_longer():
+    for line in ("a" * 300_000, "On 1 2 3 " * 40_000, "external " * 40_000, "x@" * 100_000, "1 " * 100_000, "> " * 50_000 + "x"):
+        assert M.blocks_of(M.parse(f"Hello,\n{line}\n\nnew words here", None, ANN))
+
+
 def test_without_labels_of_both_kinds(spark, rows):
     df = spark.createDataFrame([(1, "Hello,\nall of this was written new today.", None, ANN, None, None, None)], COLUMNS)
     assert rows(M.not_new(df)) == []

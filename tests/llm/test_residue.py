@@ -54,6 +54,8 @@ def test_only_repeated_lines_are_left(found):
 
 
 def test_very_long_text_and_empty_table(spark):
+    for odd in ("x" * 100_000 + "y", "{" * 100_000, "[A" * 50_000, "a1" * 100_000, " " * 200_000 + "word", "%a" * 50_000, "By " + "Aa " * 50_000):
+        assert isinstance(R.Marker()([odd], ["x"], [1]), tuple)
     docs = [(1, "nulla vitae " * 100_000, None, None, ""), (2, "real words here " * 100_000, None, None, "")]
     empty = spark.createDataFrame([], "artifact_hash string, source string"), spark.createDataFrame([], "content_hash string, extra map<string,string>")
     df = spark.createDataFrame(docs, DOCS)
