@@ -68,12 +68,10 @@ DISCLAIMER = regex.compile(
     r"|nur für den empfänger|vertraulich und|irrtümlich|löschen sie|sitz der gesellschaft|\bhrb\b|geschäftsführer|bindet .{0,40} nicht|keine verpflichtung|verpflichtet .{0,30} nicht"
     r"|confidentiel et|réservé à son destinataire|en cas d.erreur|prévenir l.expéditeur|n.est pas engagée?|siège social|\brcs\b|avant d.imprimer"
     r"|confidencial y|solo a su destinatario|por error, bórrelo|avise al remitente|no asume obligaciones|domicilio social|\bcif\b|antes de imprimir",
-    regex.I,
 )
 NOTICE = regex.compile(
     r"\[?external\]?(?: e?mail)?\b.{0,120}(?:outside|links|sender)|^\[external\]|^caution\b|sender not verified|came from outside|careful with links|scanned (?:for|by)\b|checked for (?:viruses|threats)|virus[- ]free|mailing list|leave this list|unsubscribe|you get this because|reply above this line|list-?(?:info|archive)|manage your (?:subscription|preferences)"
     r"|externe e-?mail|absender nicht|auf viren|verteiler|abmelden|expéditeur (?:externe|non vérifié)|courriel externe|liste de diffusion|désabonner|désinscri|correo externo|remitente no verificado|lista de correo|darse de baja",
-    regex.I,
 )
 EMAIL = regex.compile(r"(?<![\w.+-])[\w.+-]{1,64}@[\w-]{1,63}(?:\.[\w-]{1,63}){1,9}")
 CONTACT = regex.compile(r"(?<![\w.+-])[\w.+-]{1,64}@[\w-]{1,63}\.[\w-]|https?://\S+|www\.\S+|☎|(?:\b(?:t|tel|phone|fax|mobile|mob|m|f)\b\.?:?\s*)?\+?\d[\d\s()/-]{5,}\d|^\d{1,4} [\p{Lu}][\p{L}]+ [\p{L}]+,", regex.I)
@@ -83,10 +81,27 @@ TAG = regex.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)([^>]*)>|<!--.*?-->")
 QUOTE_BOX = regex.compile(r"class\s*=\s*[\"'][^\"']*(?:quote|cite|history|reply)|border-left|type\s*=\s*[\"']?cite", regex.I)
 SIGNATURE_BOX = regex.compile(r"class\s*=\s*[\"'][^\"']*(?:signature|sig\b|disclaimer|footer)|color\s*:\s*(?:#(?:888|999|777|aaa|666)|gr[ae]y)[^\"']*font-size|font-size\s*:\s*(?:[5-9]|0\.\d)", regex.I)
 VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
+SENTENCE_END = regex.compile(r"[.!?…][”\"»)]?$").search
+STOP = regex.compile(r"[.!?:][”\"»]?$").search
+CALLED = regex.compile(r"(\p{Lu}\p{L}+)\s?[,:–—-]").fullmatch
+REACHED = regex.compile(r"[@☎\d/]|[wW]{3}").search
 WORDS = regex.compile(r"[\p{L}\p{N}][\p{L}\p{M}\p{N}'’.-]*").findall
 SUBJECT = regex.compile(r"^(?:\s*(?:re|aw|fwd?|wg|tr|rv|sv|antw)\s*:\s*)+", regex.I)
 
 
+def disclaims(text: str) -> bool:
+    return DISCLAIMER.search(text.lower()) is not None
+
+
+def notifies(text: str) -> bool:
+    return NOTICE.search(text.lower()) is not None
+
+
+def reaches(text: str) -> bool:
+    """Does this line say how to reach someone? Few lines hold a character without which none does."""
+    return REACHED(text) is not None and CONTACT.search(text) is not None
+
+
 @dataclass
 class Line:
     number: int
@@ -204,7 +219,7 @@ def addressee(text: str) -> str:
     if m:
         words = WORDS(m.group(1))
         return words[0].lower() if words and len(words) <= 4 else ""
-    m = regex.fullmatch(r"(\p{Lu}\p{L}+)\s?[,:–—-]", text)
+    m = CALLED(text)
     return m.group(1).lower() if m else ""
 
 
@@ -246,7 +261,7 @@ def intro_end(lines: list[Line], i: int) -> int:
         if text.endswith(":"):
             told = INTRO.fullmatch(text) and VERB.search(text)
             return j + 1 if told and (regex.search(r"\d|@", text) or len(WORDS(text)) <= 6) else i
-        if regex.search(r"[.!?][”\"»]?$", x.text) and not EMAIL.search(x.text):
+        if SENTENCE_END(x.text) and not EMAIL.search(x.text):
             return i
     return i
 
@@ -301,8 +316,8 @@ def lay_out(mail: Mail) -> None:
             while j < n and lines[j].text and not lines[j].depth and j - i < 3:
                 j += 1
             above, whole = lines[i - 1].text, " ".join(y.text for y in lines[i:j])
-            broken = len(above) > 40 and not regex.search(r"[.!?:][”\"»]?$", above)
-            if (j < n and lines[j].depth) or (j - i <= 3 and not names_sender(mail, x.text) and (broken or DISCLAIMER.search(whole) or NOTICE.search(whole) or CONTACT.search(whole))):
+            broken = len(above) > 40 and not STOP(above)
+            if (j < n and lines[j].depth) or (j - i <= 3 and not names_sender(mail, x.text) and (broken or disclaims(whole) or notifies(whole) or reaches(whole))):
                 for y in lines[i:j]:
                     y.zone = "quote"
                 i = j
@@ -312,7 +327,7 @@ def lay_out(mail: Mail) -> None:
             stop += 1
         if since_blank or SEPARATOR.fullmatch(lines[i - 1].text):
             whole = " ".join(y.text for y in lines[i:stop])
-            kind = "disclaimer" if DISCLAIMER.search(whole) else "notice" if NOTICE.search(whole) else ""
+            kind = "disclaimer" if disclaims(whole) else "notice" if notifies(whole) else ""
             if kind and stop - i <= 8 and not any(CLOSING.fullmatch(y.text.rstrip(",.! ")) or names_sender(mail, y.text) for y in lines[i:stop]):
                 for y in lines[i:stop]:
                     y.zone = kind
@@ -332,9 +347,9 @@ def lay_out(mail: Mail) -> None:
         if zone == "new":
             follow = next((y for y in lines[i + 1 :] if y.text and not SEPARATOR.fullmatch(y.text)), None)
             closing = CLOSING.fullmatch(text.rstrip(",.!;–- "))
-            separated = SEPARATOR.fullmatch(text) and follow is not None and not follow.depth and (names_sender(mail, follow.text) or CONTACT.search(follow.text) or bool(NOTICE.search(follow.text)))
+            separated = SEPARATOR.fullmatch(text) and follow is not None and not follow.depth and (names_sender(mail, follow.text) or reaches(follow.text) or notifies(follow.text))
             named = names_sender(mail, text) and not GREETING.fullmatch(text)
-            if x.signature_box or separated or named or (closing and len(text) < 48 and (follow is None or len(WORDS(follow.text)) <= 8 or follow.depth or DISCLAIMER.search(follow.text))):
+            if x.signature_box or separated or named or (closing and len(text) < 48 and (follow is None or len(WORDS(follow.text)) <= 8 or follow.depth or disclaims(follow.text))):
                 zone = "signature"
         x.zone = zone
         i += 1
@@ -377,13 +392,13 @@ def blocks_of(mail: Mail) -> list[Block]:
         whole = " ".join(texts)
         words = [len(WORDS(t)) for t in texts]
         n, zone = len(g), g[0].zone
-        ends = sum(bool(regex.search(r"[.!?…][”\"»)]?$", t)) for t in texts)
-        contacts = sum(bool(CONTACT.search(t)) for t in texts)
+        ends = sum(bool(SENTENCE_END(t)) for t in texts)
+        contacts = sum(map(reaches, texts))
         mean = sum(words) / n
         greeted = addressee(texts[0])
         closing = any(CLOSING.fullmatch(t.rstrip(",.!;–- ")) for t in texts)
         named = any(names_sender(mail, t) for t in texts)
-        told, noted = bool(DISCLAIMER.search(whole)), bool(NOTICE.search(whole))
+        told, noted = disclaims(whole), notifies(whole)
         depth = max(x.depth for x in g)
         values = [
             depth > 0, min(depth, 6), zone == "new", zone == "intro", zone == "history", zone == "signature", zone == "device", zone == "disclaimer", zone == "notice", zone == "postscript",
