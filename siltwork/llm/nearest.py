@@ -113,11 +113,16 @@ def tables(q: np.ndarray, c: Codebooks) -> np.ndarray:
     return np.einsum("qd,mwd->mqw", q, c.books, optimize=True).astype(np.float32)
 
 
-def unit(rows: list) -> np.ndarray:
-    x = np.asarray(rows, np.float64).reshape(len(rows), DIMENSIONS)
+def unit(rows) -> np.ndarray:
+    x = np.asarray(rows, np.float64).reshape(-1, DIMENSIONS)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def unpacked(rows: list[bytes], kind: str) -> np.ndarray:
+    """Unit vectors of packed ones; these stay as they were given, so that single precision takes half the room."""
+    return unit(np.frombuffer(b"".join(rows), kind))
+
+
 def usable(vectors: DataFrame, item: str = "item_id", embedding: str = "embedding") -> DataFrame:
     """(item_id, v) of the rows with an id and exactly 64 finite components, not all zero."""
     v = F.col("v")
@@ -126,15 +131,15 @@ def usable(vectors: DataFrame, item: str = "item_id", embedding: str = "embeddin
     return rows.where(F.col("item_id").isNotNull() & (F.size(v) == DIMENSIONS)).where(finite & F.exists(v, lambda x: x != 0))
 
 
-def search(batches: Iterator[pa.RecordBatch], c: Codebooks, k: int) -> Iterator[pa.RecordBatch]:
+def search(batches: Iterator[pa.RecordBatch], c: Codebooks, k: int, kind: str) -> Iterator[pa.RecordBatch]:
     """Best candidates of each query of a block in each cell's block: LUT scores, then exact cosines."""
     for b in batches:
         out: tuple[list, ...] = ([], [], [])
         for cell, keys, vecs, norms, codes, asked, qvecs in zip(*(col.to_pylist() for col in b.columns), strict=True):
-            x = np.frombuffer(b"".join(vecs), np.float64).reshape(-1, DIMENSIONS)
+            x = unpacked(vecs, kind)
             code = np.frombuffer(b"".join(codes), np.uint8).reshape(-1, BOOKS)
             norm = np.asarray(norms, np.float32)
-            q_all = np.frombuffer(b"".join(qvecs), np.float64).reshape(-1, DIMENSIONS)
+            q_all = unpacked(qvecs, kind)
             names = np.asarray(keys, np.int64)
             for at in range(0, len(q_all), 1024):
                 q = q_all[at : at + 1024]
@@ -170,9 +175,10 @@ def neighbours(vectors: DataFrame, k: int = K, probes: int = PROBES, sample: int
     rows = usable(vectors)
     n = rows.count()
     schema = "item_id string, other string, cosine double, place int"
+    kind = "f4" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "f8"
     if n < 2:
         return spark.createDataFrame([], schema)
-    # One unit vector for all of a direction, which is told by its components to 7 decimals.
+    # One vector for all of a direction, which is told by its components to 7 decimals.
 
     def directions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -180,10 +186,10 @@ def neighbours(vectors: DataFrame, k: int = K, probes: int = PROBES, sample: int
         for b in batches:
             if not b.num_rows:
                 continue
-            x = unit(b.column(1).to_pylist())
-            near = np.round(x, 7) + 0.0
+            given = np.asarray(b.column(1).to_pylist(), np.float64)
+            near = np.round(unit(given), 7) + 0.0
             keys = np.array([xxhash.xxh64_intdigest(r.tobytes()) for r in near], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys), pa.array([r.tobytes() for r in x], pa.binary())], ["item_id", "key", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys), pa.array([r.tobytes() for r in given.astype(kind)], pa.binary())], ["item_id", "key", "x"])
 
     all_ = cut(rows.mapInArrow(directions, "item_id string, key bigint, x binary"), "directions")
     first = all_.withColumn("place", F.row_number().over(W.partitionBy("key").orderBy("item_id", "x"))).where(F.col("place") <= k + 1)
@@ -191,14 +197,14 @@ def neighbours(vectors: DataFrame, k: int = K, probes: int = PROBES, sample: int
     classes = cut(classes, "classes")
 
     chosen = classes.select("x", F.xxhash64("key").alias("h"), "key").orderBy("h", "key").limit(sample).select("x").collect()
-    learn = np.frombuffer(b"".join(bytes(r[0]) for r in chosen), np.float64).reshape(-1, DIMENSIONS).astype(np.float32)
+    learn = unpacked([bytes(r[0]) for r in chosen], kind).astype(np.float32)
     books = fit(learn, min(max(1, n // CELL), max(1, len(learn) // 8)))
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            x = np.frombuffer(b"".join(b.column(1).to_pylist()), np.float64).reshape(-1, DIMENSIONS).astype(np.float32)
+            x = unpacked(b.column(1).to_pylist(), kind).astype(np.float32)
             cell, codes, norm = encode(x, books)
             near = nearest_words(x, books.coarse, probes)
             columns = [b.column(0), b.column(1), pa.array(cell), pa.array([r.tobytes() for r in codes], pa.binary()), pa.array(norm.astype(np.float32)), pa.array(near.tolist(), pa.list_(pa.int32()))]
@@ -217,7 +223,7 @@ def neighbours(vectors: DataFrame, k: int = K, probes: int = PROBES, sample: int
     held = held.select("cell", "part", F.explode(F.sequence(F.lit(0), F.col("queries").cast("int") - 1)).alias("query"), "key", "x", "norm", "codes")
     looking = asked.join(sizes, "cell").withColumn("query", part("q", "queries")).groupBy("cell", "query").agg(F.collect_list("key").alias("asked"), F.collect_list("x").alias("qx"))
     blocks = held.join(looking, ["cell", "query"]).select("cell", "key", "x", "norm", "codes", "asked", "qx")
-    hits = blocks.mapInArrow(lambda it: search(it, books, k), "query bigint, key bigint, cosine double")
+    hits = blocks.mapInArrow(lambda it: search(it, books, k, kind), "query bigint, key bigint, cosine double")
 
     # The best of a direction, as ids: one more than asked for, since a vector is not its own neighbour.
     named = hits.join(classes.select("key", "ids"), "key").select("query", F.explode("ids").alias("other"), "cosine")
