@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -15,6 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType
 
 
+#: Words between the white space of ASCII, as engines of SQL count them.
+WORDS = re.compile(r"[^ \t\n\r\f\v]+").findall
+
+
 @dataclass(frozen=True)
 class Completion:
     text: str
@@ -44,7 +49,7 @@ class LineProvider:
     def complete(self, text: str, model: str) -> Completion:
         lines = [x.strip(" \t\r\f\v") for x in text.split("\n")]
         kept = [x for x in lines if x][: self.by_model.get(model, self.claims)]
-        return Completion(json.dumps([{"claim": x, "quote": x} for x in kept]), len(text.split()), sum(len(x.split()) for x in kept), 0)
+        return Completion(json.dumps([{"claim": x, "quote": x} for x in kept]), len(WORDS(text)), sum(len(WORDS(x)) for x in kept), 0)
 
     def embed(self, text: str) -> list[float]:
         return [b / 255 for b in hashlib.sha256(text.encode()).digest()[:8]]

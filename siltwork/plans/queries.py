@@ -462,13 +462,13 @@ def personal_notes(s, d):
 _VARIANTS = [(0, "lines", "one", "v1", {"top": "1", "a": "x"}), (1, "lines", "three", "v1", {"a": 'q"\\'}), (2, "lines", "five", "v2", {})]
 _VARIANT_SQL = """v AS (SELECT * FROM (VALUES (0, 'lines', 'one', 'v1', '{"a":"x","top":"1"}', 1), (1, 'lines', 'three', 'v1', '{"a":"q\\"\\\\"}', 3), (2, 'lines', 'five', 'v2', '{}', 5)) t(index, provider, model, version, params, cap)),
 n AS (SELECT doc_id, artifact_hash, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[ \\t\\r\\f\\v]+|[ \\t\\r\\f\\v]+$', '', 'g')), lambda x: x <> '') AS l,
-  CAST(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS INT) AS words FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '(?s)[\\x00-\\x7f]*')),
+  CAST(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS INT) AS words FROM documents WHERE text IS NOT NULL),
 x AS (SELECT doc_id, artifact_hash, index, provider, model, words, substr(sha256('{"input_hash":"' || artifact_hash || '","model":"' || model || '","params":' || params || ',"prompt_version":"' || version || '","provider":"' || provider || '"}'), 1, 12) AS gen_key,
-  l[1:cap] AS kept FROM n, v)"""
+  list_filter(l[1:cap], lambda x: NOT regexp_full_match(x, '[\\s\\p{Z}\\x{85}]*')) AS kept FROM n, v)"""
 
 
 def variant_results(s, d):
-    docs = table(s, d, "documents").where(F.col("text").rlike(r"(?s)\A[\x00-\x7f]*\z")).select("doc_id", "artifact_hash", "text")
+    docs = table(s, d, "documents").where("text is not null").select("doc_id", "artifact_hash", "text")
     variants = s.createDataFrame(_VARIANTS, "index int, provider string, model string, prompt_version string, params map<string,string>")
     provider = providers.LineProvider(by_model={"one": 1, "three": 3, "five": 5})
     return compare.run(docs, variants, provider).withColumn("claims", answers.claims_of("answer")).withColumn("outputs", F.size("claims"))
