@@ -509,8 +509,12 @@ def new_text(mails: DataFrame, lines: DataFrame) -> DataFrame:
                 if body is None:
                     continue
                 drop = set(gone or ())
-                shown = [(x.number, x.text) for x in html_lines(body)] if is_html else list(enumerate((t.rstrip("\r") for t in body.split("\n")), 1))
-                kept = [t for k, t in shown if k not in drop and (not is_html or t) and not SEPARATOR.fullmatch(t.strip() or " ") and not PREFIX.fullmatch(t or " ")]
+                raw = body.split("\n")
+                kept = []
+                for x in html_lines(body) if is_html else plain_lines(body):
+                    idle = not x.shows and (x.depth or SEPARATOR.fullmatch(x.text))
+                    if x.number not in drop and not idle and (x.text or not is_html):
+                        kept.append(x.text if is_html else raw[x.number - 1].rstrip("\r"))
                 ids.append(mail_id)
                 out.append(regex.sub(r"\n{3,}", "\n\n", "\n".join(kept)).strip())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], ["mail_id", "text"])

@@ -53,6 +53,7 @@ def test_whole_operator(spark, rows):
     texts = {r.mail_id: r.text for r in M.new_text(df, got).collect()}
     assert texts[504].startswith("Hello all,\nwe begin") and texts[504].endswith("took.") and "confidential" not in texts[504]
     assert 9001 not in texts and 9002 not in texts
+    assert texts[501] == "Yes, it has been open since the early spring.\n\nNo, that one was closed by the board."
 
 
 def test_long_lines_take_no_longer():
