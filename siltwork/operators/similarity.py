@@ -1,4 +1,4 @@
-"""Nearest neighbours of a query set, exactly, in blocks; and clusters around leaders."""
+"""Nearest neighbours of a query set and all pairs within a distance, exactly, in blocks; and clusters around leaders."""
 
 from __future__ import annotations
 
@@ -16,6 +16,8 @@ from siltwork.session import cut
 
 #: Queries and rows of a block; a task holds one block of each.
 QUERIES, ROWS = 1024, 8192
+#: Rows of a block of the range join, and pairs it passes on at a time.
+SIDE, PAIRS = 2048, 100_000
 
 
 def _blocks(rows: DataFrame, size: int, n: int, id_: str, vector: str, prefix: str) -> DataFrame:
@@ -68,6 +70,53 @@ def knn(queries: DataFrame, index: DataFrame, k: int = 5, max_distance: float |
     return ranked.where(F.col("rank") <= k)
 
 
+def within(rows: DataFrame, max_distance: float, id_: str = "item_id", vector: str = "embedding") -> DataFrame:
+    """(a, b, distance): every pair of rows up to ``max_distance`` apart, the bound included, smaller id first.
+
+    Exact, over all rows and without a limit by row: distances are Euclidean, rounded to 6 decimals as in ``knn``. Rows
+    with a null id or vector take no part, rows of different dimensions make no pair. Each pair of blocks is held once.
+    """
+    kind = rows.schema[id_].dataType.simpleString()
+    x = rows.where(F.col(id_).isNotNull() & F.col(vector).isNotNull()).select(id_, vector)
+    n = x.count()
+    left, right = _blocks(x, SIDE, n, id_, vector, "q"), _blocks(x, SIDE, n, id_, vector, "x")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            type_ = b.schema.field(1).type.value_type.field("id").type
+            columns: tuple[list, list, list] = ([], [], [])
+
+            def full(columns=columns, type_=type_) -> pa.RecordBatch:
+                out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (type_, type_, pa.float64()), strict=True)], ["a", "b", "distance"])
+                for c in columns:
+                    c.clear()
+                return out
+
+            for one_block, asked, held in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                for d in {len(r["v"]) for r in asked} - {0}:
+                    mine, others = ([r for r in side if len(r["v"]) == d] for side in (asked, held))
+                    if not others:
+                        continue
+                    qs, xs = np.array([r["v"] for r in mine], float), np.array([r["v"] for r in others], float)
+                    xx = (xs * xs).sum(1)
+                    for i, r in enumerate(mine):
+                        square = xx + (qq := qs[i] @ qs[i]) - 2 * (xs @ qs[i])
+                        # All within rounding of the bound are measured again without cancellation.
+                        near = np.flatnonzero(square <= (max_distance + 1e-6) ** 2 + 1e-9 * (1 + xx + qq))
+                        exact = np.round(np.sqrt(((xs[near] - qs[i]) ** 2).sum(1)), 6)
+                        for j, distance in zip(near.tolist(), exact.tolist(), strict=True):
+                            me, other = r["id"], others[j]["id"]
+                            if distance <= max_distance and (me < other or me != other and not one_block):
+                                for c, v in zip(columns, (min(me, other), max(me, other), distance), strict=True):
+                                    c.append(v)
+                        if len(columns[0]) >= PAIRS:
+                            yield full()
+            yield full()
+
+    blocks = left.crossJoin(right).where("qb <= xb").select((F.col("qb") == F.col("xb")).alias("one_block"), "q", "x")
+    return blocks.mapInArrow(run, f"a {kind}, b {kind}, distance double")
+
+
 def leaders(items: DataFrame, near: DataFrame, id_: str = "item", k: int = 5) -> DataFrame:
     """(item, leader, place): items in the order of ``ord`` join the nearest leader among their k nearest, or lead.
 

@@ -416,9 +416,9 @@ def entity_slugs(s, d):
 
 
 def leader_clusters(s, d):
-    """Vectors in order of their ids around leaders within 1.2; the links are those of the query set's neighbours."""
+    """Vectors in order of their ids around leaders within 1.2; the links are all pairs of vectors that near."""
     v = table(s, d, "embeddings").select("vec_id", "embedding")
-    near = similarity.knn(v.where("vec_id % 100 = 0"), v, 5, 1.2, "vec_id").select(F.least("query", "item").alias("a"), F.greatest("query", "item").alias("b"), "distance").distinct()
+    near = cut(similarity.within(v, 1.2, "vec_id"), "near")
     return similarity.leaders(v.select("vec_id", F.col("vec_id").alias("ord")), near, "vec_id")
 
 

@@ -9,6 +9,7 @@ from siltwork import schemas
 from siltwork.operators import backlog as B
 from siltwork.operators import compare, facts, graph, providers, similarity
 from siltwork.operators.merge import Snapshots, latest, upsert, without
+from siltwork.plans.queries import QUERIES
 
 
 def test_latest_and_upsert(spark, rows):
@@ -138,6 +139,28 @@ def test_leaders_against_one_pass(spark):
     assert {r.item: r.leader for r in got.collect()} == led
 
 
+def test_all_pairs_within_a_distance(spark, rows, monkeypatch):
+    monkeypatch.setattr(similarity, "SIDE", 16)
+    monkeypatch.setattr(similarity, "PAIRS", 10)
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(90, 4)).round(1)
+    data = [(f"v{i:02}", x.tolist()) for i, x in enumerate(v)] + [("odd", [0.0]), ("none", None), (None, [0.0] * 4)]
+    want = [(f"v{i:02}", f"v{j:02}", d) for i, j in itertools.combinations(range(90), 2) if (d := round(float(np.sqrt(((v[i] - v[j]) ** 2).sum())), 6)) <= 1.0]
+    got = rows(similarity.within(spark.createDataFrame(data, "item_id string, embedding array<double>"), 1.0))
+    assert got == want and len(want) > 90 and any(d == 1.0 for _, _, d in want)
+
+
+def test_leader_clusters_take_links_of_all_rows(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(260, 3)).astype("float32")
+    spark.createDataFrame([(i + 1, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    led = {}
+    for i, x in enumerate(v.astype(float)):
+        hits = [(d, y) for y in led if led[y] == y and (d := round(float(np.sqrt(((x - v[y - 1].astype(float)) ** 2).sum())), 6)) <= 1.2]
+        led[i + 1] = min(hits)[1] if hits else i + 1
+    assert {r.item: r.leader for r in QUERIES["leader_clusters"](spark, str(tmp_path)).collect()} == led
+
+
 def test_facts(spark, rows):
     c = spark.createDataFrame([("c1", "x", 1, "s1"), ("c2", "x", 2, "s1"), ("c3", "y", 3, "s2"), ("c4", "x", 0, "s3")], "id string, said string, seq int, src string")
     got = facts.attest(c, F.col("said"), F.col("seq"))
