@@ -1,8 +1,8 @@
 """Records whose text is template residue, filler, an error page or a notice that scripts are needed.
 
 Lines of one template are aligned over the whole corpus: what stays the same is the template's wording, what sits
-between is a slot. A slot that keeps variable names (two different ones at least under the same wording) marks the
-line as an unfilled template; blanks and defaults left in a slot count as names. Lines that consist of filler, of the
+between is a slot. A slot that keeps variable names (two different ones at least under the same wording, or one in two
+documents) marks the line as an unfilled template. Lines that consist of filler, of the
 sentences of whole-page error templates or of script notices are told by their wording. A record is residue when, after
 all that and the lines its source repeats excessively (``linetemplates``) are set aside, no line is left.
 """
@@ -22,8 +22,8 @@ from siltwork.session import cut
 
 #: Most words of wording around the slots of an unfilled template line; longer ones are sentences about placeholders.
 WORDING = 8
-#: Different variable names that a template's slots must keep in the corpus.
-LEAST_NAMES = 2
+#: Different variable names that a template's slots must keep in the corpus, or documents that must keep its only name.
+LEAST_NAMES, LEAST_TEXTS = 2, 2
 #: Most words of a sentence of an error page or notice.
 SENTENCE = 18
 
@@ -211,7 +211,7 @@ def residue(docs: DataFrame, artifacts: DataFrame, manifest: DataFrame) -> DataF
 
     pairs = F.expr("transform(sequence(0, size(slots) div 2 - 1), i -> struct(slots[2 * i] as wording, slots[2 * i + 1] as name))")
     aligned = rows.where(F.size("slots") > 0).select("doc_id", F.explode(pairs).alias("p")).select("doc_id", "p.wording", "p.name")
-    unfilled = aligned.groupBy("wording").agg(F.countDistinct("name").alias("names")).where(F.col("names") >= LEAST_NAMES).select("wording")
+    unfilled = aligned.groupBy("wording").agg(F.countDistinct("name").alias("names"), F.countDistinct("doc_id").alias("texts")).where((F.col("names") >= LEAST_NAMES) | (F.col("texts") >= LEAST_TEXTS)).select("wording")
     filled = aligned.join(unfilled, "wording", "left_anti").select("doc_id").distinct()
 
     by_source = bad.groupBy("source").agg(F.collect_set("key").alias("bad"))

@@ -63,3 +63,9 @@ def test_very_long_text_and_empty_table(spark):
     assert [r[0] for r in got.collect()] == [1]
     assert [r.doc_id for r in R.without_residue(df, got).collect()] == [2]
     assert R.residue(df.limit(0), *empty).collect() == []
+
+
+def test_a_name_that_never_varies_is_unfilled_too(spark):
+    docs = [(i, "Dear {{first_name}}, thank you for your order.", None, None, "") for i in range(4)] + [(9, "Hi {{first_name}}, a quick word on the supply line.", None, None, "")]
+    empty = spark.createDataFrame([], "artifact_hash string, source string"), spark.createDataFrame([], "content_hash string, extra map<string,string>")
+    assert sorted(r[0] for r in R.residue(spark.createDataFrame(docs, DOCS), *empty).collect()) == [0, 1, 2, 3]
