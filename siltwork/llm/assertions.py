@@ -57,18 +57,24 @@ def figure(text: str) -> str:
 
 @dataclass(frozen=True)
 class Assertion:
+    """``named`` is False where a text in one case does not show which of its words are names; they stand among the words then."""
+
     figures: tuple[str, ...]
     names: tuple[str, ...]
     denied: bool
     words: tuple[str, ...]
+    named: bool = True
 
     def anchor(self) -> str:
-        return " ".join(["#", *self.figures, "@", *self.names, "!" if self.denied else "."])
+        return " ".join(["#", *self.figures, "@" if self.named else "?", *self.names, "!" if self.denied else "."])
 
     def canonical(self) -> str:
-        """The text that is indexed: the anchor, then the content words in order of the alphabet."""
+        """The anchor, then the content words: in order of the alphabet, or of the text where the names are among them."""
         return " ".join([self.anchor(), *self.words])
 
+    def empty(self) -> bool:
+        return not (self.figures or self.names or self.words)
+
 
 def read(text: str | None) -> Assertion:
     """The assertion of a text; an empty one for an empty or null text."""
@@ -97,19 +103,20 @@ def read(text: str | None) -> Assertion:
                 words.append("+" if low in UP else "-")
             continue
         words.append(low)
-    return Assertion(tuple(sorted(figures)), tuple(names), denied, tuple(sorted(set(words))))
+    named = cased and any(c.isupper() for c in text)
+    kept = tuple(sorted(set(words))) if named else tuple(dict.fromkeys(words))
+    return Assertion(tuple(sorted(figures)), tuple(names), denied, kept, named or not words)
 
 
 def read_claim(text: str | None, quote: str | None) -> tuple[Assertion, Assertion]:
     """The assertions of a claim's text and of its quote; the quote stands for a missing text, and its names for those
-    of a text in capitals only."""
+    of a text in one case only."""
     told = read(quote)
     said = read(text)
-    if not (said.figures or said.names or said.words):
+    if said.empty():
         said = told
-    if text and not any(map(str.islower, text)) and told.names:
-        names = tuple(n for n in told.names if n in said.words)
-        said = Assertion(said.figures, names, said.denied, tuple(w for w in said.words if w not in names))
+    if not said.named and told.names and set(told.names) <= set(said.words):
+        said = Assertion(said.figures, told.names, said.denied, tuple(sorted(w for w in said.words if w not in told.names)))
     return said, told
 
 
@@ -121,20 +128,25 @@ def record(text: str | None, quote: str | None) -> str:
 
 def parse(canonical: str) -> Assertion:
     """The assertion of a canonical form."""
-    figures, _, rest = canonical[2:].partition("@")
-    names, mark, words = regex.match(r"(.*?) ([!.])(?: |$)(.*)", " " + rest.strip()).groups()
-    return Assertion(tuple(figures.split()), tuple(names.split()), mark == "!", tuple(words.split()))
+    tokens = canonical.split(" ")
+    at = next(i for i, t in enumerate(tokens) if t in ("@", "?"))
+    end = next(i for i in range(at + 1, len(tokens)) if tokens[i] in ("!", "."))
+    return Assertion(tuple(tokens[1:at]), tuple(tokens[at + 1 : end]), tokens[end] == "!", tuple(tokens[end + 1 :]), tokens[at] == "@")
 
 
 def repeats(a: str, b: str) -> bool:
-    """Do two records make the same assertion? By their texts, or, with equal anchors, by their quotes."""
-    (a, _, qa), (b, _, qb) = a.partition("\t"), b.partition("\t")
+    """Do two records make the same assertion? By their texts, or, with anchors that agree, by their quotes."""
     if a == b:
         return True
+    (a, _, qa), (b, _, qb) = a.partition("\t"), b.partition("\t")
     x, y = parse(a), parse(b)
     if same(x, y):
         return True
-    return bool(qa and qb) and x.anchor() == y.anchor() and same(parse(qa), parse(qb))
+    if not (qa and qb and x.figures == y.figures and x.denied == y.denied):
+        return False
+    if x.named and y.named and "".join(x.names) != "".join(y.names):
+        return False
+    return same(parse(qa), parse(qb))
 
 
 def common(a: str, b: str) -> int:
@@ -157,15 +169,15 @@ def alike(a: str, b: str) -> float:
     return 2 * common(a, b) / (len(a) + len(b)) if a and b else 0.0
 
 
-#: Least ratio at which two words are one word, misspelled.
-SPELLING = 0.7
+#: Least ratio at which two words are one word, misspelled, and at which a long word is one of framing, misspelled.
+SPELLING, FRAMING = 0.66, 0.7
 _frames = sorted(w for w in PLAIN | UP | DOWN if len(w) >= 4)
 
 
 @lru_cache(maxsize=200_000)
 def framing(word: str) -> bool:
     """Is this a misspelled word of framing or movement?"""
-    least = SPELLING if len(word) >= 6 else 0.8
+    least = FRAMING if len(word) >= 6 else 0.8
     return any(abs(len(word) - len(w)) <= 3 and alike(word, w) >= least for w in _frames)
 
 
@@ -185,14 +197,27 @@ def leftover(a: tuple[str, ...], b: tuple[str, ...]) -> list[str]:
 
 
 def same(a: Assertion, b: Assertion) -> bool:
-    """Do two assertions agree in figures, names and denial, and in their content up to spelling?"""
-    if a.figures != b.figures or a.denied != b.denied or "".join(a.names) != "".join(b.names):
+    """Do two assertions agree in figures, names and denial, and in their content up to spelling?
+
+    Where one does not show its names, the names of the other must stand among its words as they are; where neither
+    does, names are words like others.
+    """
+    if a.figures != b.figures or a.denied != b.denied:
         return False
-    if a.words == b.words:
-        return bool(a.words or a.names or a.figures)
+    wa, wb = set(a.words), set(b.words)
+    if a.named and b.named:
+        if "".join(a.names) != "".join(b.names):
+            return False
+    elif a.named != b.named:
+        names, among = (a.names, wb) if a.named else (b.names, wa)
+        if not among.issuperset(names):
+            return False
+        among.difference_update(names)
+    if wa == wb:
+        return not a.empty()
     moves = {"+", "-"}
-    ma, mb = moves & set(a.words), moves & set(b.words)
+    ma, mb = moves & wa, moves & wb
     if ma and mb and ma != mb:
         return False
-    wa, wb = tuple(w for w in a.words if w not in moves), tuple(w for w in b.words if w not in moves)
-    return all(framing(w) for w in leftover(wa, wb)) and all(framing(w) for w in leftover(wb, wa))
+    xa, xb = tuple(sorted(wa - moves)), tuple(sorted(wb - moves))
+    return all(framing(w) for w in leftover(xa, xb)) and all(framing(w) for w in leftover(xb, xa))
