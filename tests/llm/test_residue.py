@@ -12,6 +12,17 @@ RESIDUE = [
     "foo bar baz foo bar",
     "Titre de la section\nVotre texte ici.",
     "By Georgina Darerkberg\nPlaceholder caption",
+    "Ann Lee | senior writer\nText goes here",
+    "Bob Holm | senior writer\nText goes here",
+    "Cy Olsen | Senior Writer\nText goes here".replace("Senior Writer", "senior writer"),
+    "<<FIRSTNAME>>, welcome to <<COMPANY>>",
+    "Dear :first_name:, welcome",
+    "Dear :guest_name:, welcome",
+    "Hello , welcome back\nHello {{guest}}, welcome back",
+    "Hello %city%, welcome back",
+    "Hello , welcome back",
+    "Página en mantenimiento. Vuelva más tarde.",
+    "The page you requested could not be found because it may have been moved, renamed or deleted, or the address was typed wrong.",
     "Home | Archive | About | Sign in\n404 Not Found",
 ]
 REAL = [
@@ -21,6 +32,12 @@ REAL = [
     "In the code sample, `${user.name}` and `%ORDER_ID%` are replaced at send time; see the pilot.",
     "404 Not Found\n\nBetween 1998 and 2014 the regional outage held while the archive team audited the founder call.",
     "Prices tell you less than queues. Not advice.",
+    "The missing hikers were not found.",
+    "Your browser history is a diary.",
+    "Our shop has moved to Elm Street.",
+    "Ein Fehler kostet uns viel Geld.",
+    "Quietly the ferry service was temporarily unavailable during the storm.",
+    "Anna Schmidt | gardening notes",
     "Hi {{first_name}}, a quick word before this week's piece on the supply line.",
 ]
 BLANK = [None, "", "  \n\t", "12345 — 678", "---\n***"]
@@ -69,3 +86,22 @@ def test_a_name_that_never_varies_is_unfilled_too(spark):
     docs = [(i, "Dear {{first_name}}, thank you for your order.", None, None, "") for i in range(4)] + [(9, "Hi {{first_name}}, a quick word on the supply line.", None, None, "")]
     empty = spark.createDataFrame([], "artifact_hash string, source string"), spark.createDataFrame([], "content_hash string, extra map<string,string>")
     assert sorted(r[0] for r in R.residue(spark.createDataFrame(docs, DOCS), *empty).collect()) == [0, 1, 2, 3]
+
+
+NONE = "artifact_hash string, source string", "content_hash string, extra map<string,string>"
+
+
+def test_pages_of_any_wording_are_induced_from_repetition(spark):
+    page, maxim = "Whoa there, this page took a holiday.\nref 9f8e7d6c5b4a", "Slow notes make fast meetings."
+    odd = lambda i: "".join(chr(97 + (i * 7 + k * 3) % 26) for k in range(9))
+    docs = [(i, page.replace("9f8e", f"{i:04}"), f"s{i}", None, "") for i in range(6)]
+    docs += [(100 + i, f"{maxim}\nA letter on {odd(i)} and {odd(i + 5)}.", f"s{i}", None, "") for i in range(6)]
+    docs += [(200, "A plain text that was copied.", "s1", None, ""), (201, "A plain text that was copied.", "s2", None, ""), (300, f"{page}\nThe holiday was long and {odd(3)} came.", "s9", None, ""), (400, maxim, "s9", None, "")]
+    empty = [spark.createDataFrame([], x) for x in NONE]
+    assert sorted(r[0] for r in R.residue(spark.createDataFrame(docs, DOCS), *empty).collect()) == list(range(6))
+
+
+def test_a_name_kept_by_one_record_of_a_known_template(spark):
+    docs = [(1, "Title: {{subject_line}} of today", None, None, ""), (2, "Ahoy {{subject_line}} and crew", None, None, ""), (3, "Ahoy there, crew of today", None, None, "")]
+    empty = [spark.createDataFrame([], x) for x in NONE]
+    assert sorted(r[0] for r in R.residue(spark.createDataFrame(docs, DOCS), *empty).collect()) == [1, 2]
