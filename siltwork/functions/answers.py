@@ -1,86 +1,58 @@
-"""Reading what a model answered: JSON with prose, fences or wrapping around it, read leniently and in Arrow batches."""
+"""Reading what a model answered: JSON with prose or fences around it, as expressions over VARIANT; nothing leaves the JVM."""
 
 from __future__ import annotations
 
-import json
-import re
-
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, StringType, StructType
 
+from siltwork.functions.text import strip
 from siltwork.schemas import ENTITY_TYPES
 
-CLAIMS = ArrayType(StructType().add("text", StringType()).add("quote", StringType()))
-ENTITIES = ArrayType(StructType().add("name", StringType()).add("type", StringType()))
-
-
-def salvage(text: str | None):
-    """The JSON value of an answer: as it stands, without its fence, else its outermost array, else its outermost object."""
-    text = (text or "").strip()
-    if text.startswith("```"):
-        text = re.sub(r"(?i)^json\s*", "", text.strip("`"))
-    spans = [(0, len(text))] + [(text.find(a), text.rfind(b) + 1) for a, b in ("[]", "{}")]
-    for start, end in spans:
-        if 0 <= start < end:
-            try:
-                return json.loads(text[start:end])
-            except ValueError:
-                continue
-    return None
+#: Where in an answer its JSON can be: all of it, from the first bracket to the last, from the first brace to the last.
+SPANS = (r"(?s)^(.*)$", r"(?s)(\[.*\])", r"(?s)(\{.*\})")
 
 
-def items(value, name: str) -> list:
-    """The list of an answer that is one, or that holds one under ``name`` or 'items'."""
-    if isinstance(value, dict):
-        value = value.get(name) or value.get("items") or []
-    return value if isinstance(value, list) else []
+def value_of(answer: Column) -> Column:
+    """The JSON value of an answer as a VARIANT: of the first span that is JSON; null if none is."""
+    return F.coalesce(*(F.try_parse_json(F.regexp_extract(F.trim(answer), span, 1)) for span in SPANS))
 
 
-def text_of(value) -> str:
-    return value.strip() if isinstance(value, str) else ""
+def listed(value: Column, *names: str) -> Column:
+    """The entries of a value that is a list, or that holds one under one of the names; else none."""
+    kind = "array<variant>"
+    return F.coalesce(*(F.try_variant_get(value, path, kind) for path in ("$", *(f"$.{n}" for n in names))), F.array().cast(kind))
 
 
-def read_claims(text: str | None) -> list[dict]:
-    out = []
-    for x in items(salvage(text), "claims"):
-        if isinstance(x, dict):
-            claim, quote = text_of(x.get("claim") or x.get("text")), text_of(x.get("quote"))
-        else:
-            claim, quote = text_of(x), ""
-        if claim:
-            out.append({"text": claim, "quote": quote})
-    return out
+def named_text(entry: Column, *names: str) -> Column:
+    """The first of an entry's fields that holds a text which is not blank, stripped; null if none does."""
+    field = lambda n: F.when(F.schema_of_variant(F.try_variant_get(entry, f"$.{n}", "variant")) == "STRING", F.try_variant_get(entry, f"$.{n}", "string"))
+    return F.coalesce(*(F.nullif(strip(field(n)), F.lit("")) for n in names))
 
 
-def read_entities(text: str | None) -> list[dict]:
-    out = []
-    for x in items(salvage(text), "entities"):
-        if isinstance(x, dict):
-            name, kind = text_of(x.get("name")), text_of(x.get("type") or x.get("entity_type") or "other").lower()
-        else:
-            name, kind = text_of(x), "other"
-        if name:
-            out.append({"name": name, "type": kind if kind in ENTITY_TYPES else "other"})
-    return out
+def bare_text(entry: Column) -> Column:
+    """An entry that is itself a text, stripped; else null."""
+    return F.when(F.schema_of_variant(entry) == "STRING", F.nullif(strip(F.try_variant_get(entry, "$", "string")), F.lit("")))
 
 
-def read_verdict(text: str | None) -> bool:
-    """Does the answer say "same"? An answer that can't be read says no."""
-    value = salvage(text)
-    return bool(value.get("same")) if isinstance(value, dict) else False
+def claims_of(answer: Column | str) -> Column:
+    """array<struct<text, quote>> of the claims in an answer; entries without a text are left out."""
+    entries = listed(value_of(F.col(answer) if isinstance(answer, str) else answer), "claims", "items")
+    read = lambda e: F.struct(F.coalesce(named_text(e, "claim", "text"), bare_text(e)).alias("text"), F.coalesce(named_text(e, "quote"), F.lit("")).alias("quote"))
+    return F.filter(F.transform(entries, read), lambda c: c["text"].isNotNull())
 
 
-@F.pandas_udf(CLAIMS)
-def claims_of(answer: pd.Series) -> pd.Series:
-    return answer.map(read_claims)
+def entities_of(answer: Column | str) -> Column:
+    """array<struct<name, type>> of the entities in an answer; a type that is not of the vocabulary counts as 'other'."""
+    entries = listed(value_of(F.col(answer) if isinstance(answer, str) else answer), "entities", "items")
 
+    def read(e: Column) -> Column:
+        kind = F.lower(named_text(e, "type", "entity_type"))
+        return F.struct(F.coalesce(named_text(e, "name"), bare_text(e)).alias("name"), F.when(kind.isin(*ENTITY_TYPES), kind).otherwise("other").alias("type"))
 
-@F.pandas_udf(ENTITIES)
-def entities_of(answer: pd.Series) -> pd.Series:
-    return answer.map(read_entities)
+    return F.filter(F.transform(entries, read), lambda c: c["name"].isNotNull())
 
 
-@F.pandas_udf(BooleanType())
-def same_of(answer: pd.Series) -> pd.Series:
-    return answer.map(read_verdict)
+def same_of(answer: Column | str) -> Column:
+    """Does an answer say "same"? One that can't be read, or says neither true nor false, says no."""
+    value = value_of(F.col(answer) if isinstance(answer, str) else answer)
+    return F.coalesce(F.try_variant_get(value, "$.same", "boolean"), F.lit(False))

@@ -26,9 +26,27 @@ def key_digest(key: dict) -> str:
 
 
 def json_text(c: Column) -> Column:
-    """A text as a JSON string: quotes and backslashes escaped, null as null."""
-    escaped = F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\"), '"', r'\\"')
-    return F.coalesce(F.concat(F.lit('"'), escaped, F.lit('"')), F.lit("null"))
+    """A text as a JSON string as ``json.dumps`` writes it: quotes, backslashes and control characters escaped, everything
+    beyond ASCII as UTF-16 units; null as null."""
+    short = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r", 34: '\\"', 92: "\\\\"}
+
+    def unit(n: Column) -> Column:
+        return F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(n), 4, "0")))
+
+    def escaped(x: Column) -> Column:
+        # The code point, of the big-endian bytes of the character.
+        n = F.conv(F.hex(F.encode(x, "UTF-32")), 16, 10).cast("int")
+        above = n - 0x10000
+        pair = F.concat(unit(F.shiftright(above, 10) + 0xD800), unit(above.bitwiseAND(0x3FF) + 0xDC00))
+        # The short forms come first.
+        out = F.when(F.lit(False), F.lit(""))
+        for code, text in short.items():
+            out = out.when(n == code, F.lit(text))
+        return out.when(n > 0xFFFF, pair).when((n < 32) | (n > 126), unit(n)).otherwise(x)
+
+    full = F.array_join(F.transform(F.split(c, ""), escaped), "")
+    plain = c.rlike(r'^[ !#-\[\]-~]*$')
+    return F.coalesce(F.concat(F.lit('"'), F.when(plain, c).otherwise(full), F.lit('"')), F.lit("null"))
 
 
 def key_digest_column(provider: Column, model: Column, params: Column, prompt_version: Column, input_hash: Column) -> Column:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from siltwork.schemas import AUTHORITIES, NOTE_TYPES
+from siltwork.schemas import AUTHORITIES, ENTITY_TYPES, NOTE_TYPES
 
+# What notes consist of, the wording of their bodies and the sign for what is not known.
 NONE = "—"
 
 
@@ -23,6 +24,18 @@ def frontmatter(note_type: str, authority: str, source_hash: Column, as_of: Colu
     return F.struct(*(c.alias(n) for n, c in fields.items()))
 
 
+def source_note(source_hash: Column, as_of: Column, pipeline_version: str, source_type: Column, url: Column, added: Column | None = None, matched: Column | None = None) -> Column:
+    """Frontmatter of a source note, with how many claims it added and matched, 0 before that is known."""
+    n = lambda c: F.lit(0) if c is None else c
+    return frontmatter("source", "derived", source_hash, as_of, pipeline_version, source_type=source_type, claims_added=n(added), claims_matched=n(matched)).withField("source_url", url)
+
+
+def entity_note(name: Column, entity_type: Column, source_hash: Column, as_of: Column, pipeline_version: str, mentions: Column) -> Column:
+    """Frontmatter of an entity note with its mentions; a type that is not of the vocabulary fails."""
+    kind = F.when(entity_type.isin(*ENTITY_TYPES), entity_type).otherwise(F.raise_error(F.concat(F.lit("invalid entity type "), entity_type)).cast("string"))
+    return frontmatter("entity", "derived", source_hash, as_of, pipeline_version, name=name, entity_type=kind, mentions=mentions)
+
+
 def source_body(source_id: Column, digest: Column, source_type: Column, fetched_at: Column, url: Column) -> Column:
     return F.concat(
         F.lit("# "), source_id, F.lit("\n\n> Source note for artifact `"), F.substring(digest, 1, 12), F.lit("` ("), source_type, F.lit(").\n\n- Raw manifest: `"), digest,

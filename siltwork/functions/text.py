@@ -13,9 +13,13 @@ UNSUBSCRIBE = r"(?imd)^.*(?:unsubscribe|manage your subscription|update your pre
 TITLE_CHARS = 120
 
 
+#: White space that is stripped: what ``\\s`` stands for.
+BLANKS = " \t\n\x0b\f\r"
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends, line ends included."""
-    return F.regexp_replace(c, r"^\s+|(?<!\s)\s+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def filled(c: Column) -> Column:
@@ -30,9 +34,11 @@ def canonical_url(c: Column) -> Column:
 
 def without_boilerplate(c: Column) -> Column:
     """A newsletter without its web-view, redirect and unsubscribe boilerplate, with at most one blank line in a row."""
-    # Looking back keeps a long run of blanks from being tried from each of its places.
-    for pattern in (VIEW_ON_WEB, REDIRECT.replace(r"\s*", r"(?<!\s)\s*", 1), UNSUBSCRIBE):
-        c = F.regexp_replace(c, pattern, "")
+    # Looking back keeps a long run of blanks from being tried from each of its places; a text without the words of a
+    # pattern is not searched for its lines.
+    for pattern, words in ((VIEW_ON_WEB, "view this"), (REDIRECT.replace(r"\s*", r"(?<!\s)\s*", 1), "http"), (UNSUBSCRIBE, None)):
+        hint = F.contains(F.lower(c), F.lit(words)) if words else c.rlike(r"(?i)unsubscribe|manage your subscription|update your preferences|©")
+        c = F.when(hint, F.regexp_replace(c, pattern, "")).otherwise(c)
     c = F.regexp_replace(c, r"(?<![ \t])[ \t]+\n", "\n")
     return strip(F.regexp_replace(c, r"\n{3,}", "\n\n"))
 
@@ -78,9 +84,9 @@ def body(text: Column, html: Column) -> Column:
 
 
 def header(headers: Column, name: str) -> Column:
-    """The first value of a header, whatever the case of its name."""
-    low = F.map_from_entries(F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]), e["value"])))
-    return F.try_element_at(F.try_element_at(low, F.lit(name.lower())), F.lit(1))
+    """The first value of a header, whatever the case of its name, also if it stands there in two cases."""
+    values = F.filter(F.map_entries(headers), lambda e: F.lower(e["key"]) == name.lower())
+    return F.try_element_at(F.try_element_at(values, F.lit(1))["value"], F.lit(1))
 
 
 def slug(c: Column) -> Column:

@@ -170,3 +170,24 @@ def first_of_each(rows: DataFrame, limits: DataFrame, by: str, *order: Column) -
     free, bound = ranked.where("batch_limit is null"), ranked.where("batch_limit is not null")
     numbered = bound.withColumn("__rank", F.row_number().over(W.partitionBy(by).orderBy(*order)))
     return free.unionByName(numbered.where(F.col("__rank") <= F.col("batch_limit")).drop("__rank")).drop("batch_limit")
+
+
+def oldest(jobs: DataFrame, key: str, *order: Column) -> DataFrame:
+    """(key, stage): the stage that comes first in the given order for each key."""
+    return jobs.groupBy(key).agg(F.min_by("stage", F.struct(*order)).alias("stage"))
+
+
+def tally(jobs: DataFrame, by: str) -> DataFrame:
+    """(by, done): jobs that succeeded, by group, and over all under '*'."""
+    done = jobs.where("status = 'done'").rollup(by).agg(F.count(F.lit(1)).alias("done"))
+    return done.select(F.coalesce(by, F.lit("*")).alias(by), "done")
+
+
+def with_progress(rows: DataFrame, jobs: DataFrame, stages: tuple[str, ...], key: str) -> DataFrame:
+    """Rows of a page with done, total, stage and status of their artifacts, in one aggregate over the jobs."""
+    return rows.join(frontier(jobs, stages, key), key, "left").na.fill(0, ["done", "total"])
+
+
+def listing(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows of a short summary with their place in order; all of it is numbered in one task."""
+    return rows.withColumn("place", F.row_number().over(W.orderBy(*by)))

@@ -41,3 +41,12 @@ def report_table(summary: DataFrame) -> DataFrame:
 def approve(results: DataFrame, choices: DataFrame, digest: str = "artifact_hash") -> DataFrame:
     """The results of the chosen variant of each input; ``choices`` is (digest, index)."""
     return results.join(choices, [digest, "index"])
+
+
+def queue_next(approved: DataFrame, chain: DataFrame, stage: str) -> DataFrame:
+    """Approved results with the stage that follows ``stage`` and status 'ready'; none after the last stage.
+
+    ``chain`` is (source_type, stage, next_stage), a few rows.
+    """
+    after = chain.where((F.col("stage") == stage) & F.col("next_stage").isNotNull()).select(F.col("next_stage").alias("stage")).distinct()
+    return approved.crossJoin(F.broadcast(after)).withColumn("status", F.lit("ready"))

@@ -63,3 +63,13 @@ def annotations(notes: DataFrame, artifacts: DataFrame) -> DataFrame:
     """Notes with the source they annotate, null where it is not registered."""
     a = artifacts.select(F.col("artifact_hash").alias("annotates"), F.col("title").alias("target_title"), F.col("source_type").alias("target_type"))
     return notes.where("annotates is not null").join(a, "annotates", "left")
+
+
+def append_costs(costs: DataFrame, folder: str) -> None:
+    """Add the costs of a run to a ledger; rows that are there are never changed."""
+    costs.write.mode("append").parquet(folder)
+
+
+def usage(costs: DataFrame, *by: str) -> DataFrame:
+    """(by, calls, tokens_in, usd) of a ledger."""
+    return costs.groupBy(*by).agg(F.count(F.lit(1)).alias("calls"), F.sum("tokens_in").cast("bigint").alias("tokens_in"), F.round(F.sum("usd"), 6).alias("usd"))

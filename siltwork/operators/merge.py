@@ -20,7 +20,8 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], rules: Mapping[str,
     """``old`` with the rows of ``new``, of which each key has one.
 
     By column: 'new' takes the new value, null included; 'old' keeps the old row's; 'coalesce' takes the new value
-    unless it is null. Columns without a rule are 'new'. Keys may not be null.
+    unless it is null; 'min' and 'max' take the smaller or greater of both. Columns without a rule are 'new'. Keys may
+    not be null.
     """
     rules = rules or {}
     n = new.select(*(F.col(c).alias(f"__n_{c}") for c in old.columns)).withColumn("__new", F.lit(True))
@@ -35,6 +36,8 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], rules: Mapping[str,
             value = F.coalesce(theirs, mine)
         elif rule == "coalesce":
             value = F.coalesce(theirs, mine)
+        elif rule in ("min", "max"):
+            value = (F.least if rule == "min" else F.greatest)(mine, theirs)
         elif rule == "old":
             value = F.when(F.col("__old"), mine).otherwise(theirs)
         else:
@@ -51,8 +54,8 @@ def without(df: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
 class Snapshots:
     """A table as immutable snapshots in a folder, one of them current; one writer at a time.
 
-    A snapshot is written whole before the pointer is moved to it, so that a reader, or a writer that failed half way,
-    always finds a full table.
+    A snapshot is written whole before the next numbered pointer is put beside the others; the highest number counts. No
+    pointer is ever changed or removed, so that a reader, or a writer that failed half way, always finds a full table.
     """
 
     def __init__(self, spark: SparkSession, folder: str, schema):
@@ -63,11 +66,13 @@ class Snapshots:
         path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
+    def _number(self) -> int:
+        system, path = self._file("pointers")
+        return max((int(f.getPath().getName()) for f in system.listStatus(path)), default=0) if system.exists(path) else 0
+
     def current(self) -> str | None:
-        system, path = self._file("CURRENT")
-        if not system.exists(path):
-            return None
-        return self.spark.read.text(f"{self.folder}/CURRENT").first()[0]
+        number = self._number()
+        return self.spark.read.text(f"{self.folder}/pointers/{number}").first()[0] if number else None
 
     def read(self) -> DataFrame:
         name = self.current()
@@ -78,14 +83,14 @@ class Snapshots:
     def write(self, df: DataFrame) -> None:
         name = f"v-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.folder}/{name}")
-        system, path = self._file("CURRENT.new")
-        stream = system.create(path, True)
+        system, path = self._file(f"new-{uuid.uuid4().hex}")
+        stream = system.create(path, False)
         stream.write(bytearray(name.encode()))
         stream.close()
-        _, pointer = self._file("CURRENT")
-        if system.exists(pointer):
-            system.delete(pointer, False)
-        system.rename(path, pointer)
+        _, pointer = self._file(f"pointers/{self._number() + 1}")
+        system.mkdirs(pointer.getParent())
+        if not system.rename(path, pointer):
+            raise RuntimeError(f"another writer has changed the table in {self.folder}")
 
     def merge(self, new: DataFrame, keys: list[str], rules: Mapping[str, str] | None = None) -> None:
         self.write(upsert(self.read(), new, keys, rules))

@@ -70,6 +70,11 @@ def knn(queries: DataFrame, index: DataFrame, k: int = 5, max_distance: float |
     return ranked.where(F.col("rank") <= k)
 
 
+def with_metadata(hits: DataFrame, rows: DataFrame, item: str = "item") -> DataFrame:
+    """Hits with what is known of their items; a hit of which nothing is known is dropped, its rank stays unused."""
+    return hits.join(rows, item)
+
+
 def within(rows: DataFrame, max_distance: float, id_: str = "item_id", vector: str = "embedding") -> DataFrame:
     """(a, b, distance): every pair of rows up to ``max_distance`` apart, the bound included, smaller id first.
 
@@ -118,27 +123,30 @@ def within(rows: DataFrame, max_distance: float, id_: str = "item_id", vector: s
 
 
 def leaders(items: DataFrame, near: DataFrame, id_: str = "item", k: int = 5) -> DataFrame:
-    """(item, leader, place): items in the order of ``ord`` join the nearest leader among their k nearest, or lead.
+    """(item, leader): items in the order of ``ord`` join the first confirmed of the k nearest leaders so far, or lead.
 
-    ``near`` has (a, b, distance) of the pairs that may be joined, each once. What happens to an item depends only on
+    ``near`` has (a, b, distance) of the pairs in reach, each once, and may have ``same``, whether the pair is confirmed;
+    without it every pair is. A pair that is not confirmed takes one of the k places all the same. What happens to an item depends only on
     items it is linked to, so that connected components of the links are worked on apart and give exactly the outcome of
     one pass over all. Items without a link lead themselves without being moved.
     """
     linked = cut(components(near.select("a", "b")), "linked")
     ends = linked.toDF("start", "root")
     kind = items.schema[id_].dataType.simpleString()
-    member = items.join(linked, F.col(id_) == F.col("node")).select("root", F.col(id_).alias("item"), "ord")
-    both = near.select("a", "b", "distance").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
-    links = both.join(ends, F.col("a") == F.col("start")).select("root", "a", "b", "distance")
+    place = F.row_number().over(W.partitionBy("root").orderBy("ord", "item")).alias("place")
+    member = items.join(linked, F.col(id_) == F.col("node")).select("root", F.col(id_).alias("item"), "ord").select("root", "item", place)
+    near = near if "same" in near.columns else near.withColumn("same", F.lit(True))
+    both = near.select("a", "b", "distance", "same").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance", "same"))
+    links = both.join(ends, F.col("a") == F.col("start")).select("root", "a", "b", "distance", "same")
 
     def run(key, group: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
         around: dict = {}
-        for a, b, d in zip(pairs["a"], pairs["b"], pairs["distance"], strict=True):
-            around.setdefault(a, []).append((d, b))
+        for a, b, d, same in zip(pairs["a"], pairs["b"], pairs["distance"], pairs["same"], strict=True):
+            around.setdefault(a, []).append((d, b, same))
         led: dict = {}
-        for x in group.sort_values(["ord", "item"])["item"]:
-            hits = sorted((d, b) for d, b in around.get(x, ()) if led.get(b) == b)[:k]
-            led[x] = hits[0][1] if hits else x
+        for x in group.sort_values("place")["item"]:
+            shortlist = sorted(h for h in around.get(x, ()) if led.get(h[1]) == h[1])[:k]
+            led[x] = next((b for _, b, same in shortlist if same), x)
         return pd.DataFrame({"item": list(led), "leader": list(led.values())})
 
     joined = member.groupBy("root").cogroup(links.groupBy("root")).applyInPandas(run, f"item {kind}, leader {kind}")

@@ -494,13 +494,13 @@ def variants_approve(s, d):
 # Streams.
 
 
-@query(f"WITH {REG.replace('first_at AS created_at', 'created_at')} SELECT artifact_hash, source_type, author, source, media, title, word_count, created_at FROM reg")
+@query(f"WITH {REG} SELECT artifact_hash, source_type, author, source, media, title, word_count, created_at FROM reg")
 def stream_registry(s, d):
     a = table(s, d, "artifacts")
     order = ["created_at", "source_type", "author", "source", "media", "title", "word_count"]
-    store = Snapshots(s, ingest.new_folder(s, "registry"), a.select("artifact_hash", *order).schema)
-    ingest.keep_latest(ingest.parquet_stream(s, d, "artifacts").select("artifact_hash", *order), store, ["artifact_hash"], order, ingest.new_folder(s, "registry-state"))
-    return store.read()
+    store = Snapshots(s, ingest.new_folder(s, "registry"), a.select("artifact_hash", *order, F.col("created_at").alias("latest_created_at")).schema)
+    ingest.keep_latest(ingest.parquet_stream(s, d, "artifacts").select("artifact_hash", *order), store, ["artifact_hash"], order, ingest.new_folder(s, "registry-state"), ("created_at",))
+    return store.read().drop("latest_created_at")
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")

@@ -46,7 +46,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one if it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one if it is unset on a local master (tests).
+
+    On a cluster there is no folder that could stand in for it, so that a missing setting is an error.
+    """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if named:
@@ -54,6 +57,8 @@ def shared_dir(spark: SparkSession) -> str:
     have = sc._jsc.sc().getCheckpointDir()
     if have.isDefined():
         return have.get().rstrip("/")
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="siltwork-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 

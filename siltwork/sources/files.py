@@ -55,9 +55,9 @@ def raw_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "content")
 
 
-def manifests(spark: SparkSession, folder: str, strict: bool = True) -> DataFrame:
-    """The newest manifest of each hash from JSON files. ``strict``: a malformed or incomplete one fails the read."""
-    read = spark.read.schema(schema("manifest")).option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json")
+def manifests(spark: SparkSession, folder: str, strict: bool = True, lines: bool = False) -> DataFrame:
+    """The newest manifest of each hash from JSON files, one in each, or one a line. ``strict``: a malformed one fails the read."""
+    read = spark.read.schema(schema("manifest")).option("multiLine", str(not lines).lower()).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json")
     df = read.option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(folder)
     return latest(df.where("content_hash is not null"), ["content_hash"], F.col("fetched_at").desc_nulls_last())
 

@@ -20,7 +20,8 @@ def messages_to_artifacts(mails: DataFrame) -> DataFrame:
     the list to the sender as source.
     """
     raw = T.body(F.col("text"), F.col("html"))
-    rows = mails.withColumn("raw", raw).withColumn("clean", T.without_boilerplate(F.col("raw"))).where(F.length("clean") > 0)
+    # A generator is a barrier for the optimiser, which would write the whole chain of patterns out at every use of its result.
+    rows = mails.select("*", F.explode(F.array(raw)).alias("raw")).select("*", F.explode(F.array(T.without_boilerplate(F.col("raw")))).alias("clean")).where(F.length("clean") > 0)
     message_id, list_id = T.header(F.col("headers"), "message-id"), T.header(F.col("headers"), "list-id")
     url = T.canonical_url(F.col("raw"))
     return rows.select(

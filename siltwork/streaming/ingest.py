@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltwork.operators.merge import Snapshots, latest
@@ -18,33 +19,32 @@ def drain(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint:
     query.awaitTermination()
 
 
-def keep_latest(stream: DataFrame, table: Snapshots, keys: list[str], order: list[str], checkpoint: str, rules: Mapping[str, str] | None = None) -> None:
-    """Merge the latest row of each key and batch into a table of snapshots.
+def keep_latest(stream: DataFrame, table: Snapshots, keys: list[str], order: list[str], checkpoint: str, first: tuple[str, ...] = ()) -> None:
+    """Merge the latest row of each key and batch into a table of snapshots; the columns ``first`` keep the least value that
+    any row of the key had.
 
     A row of an earlier time than the table's does not replace it, so that batches may come in any order, and a batch
-    that is run again after a failure changes nothing.
+    that is run again after a failure changes nothing. The table keeps the time it is ordered by in a column
+    ``latest_<name>`` for each of ``first``, as the least value no longer tells it.
     """
+    newest = [F.col(f"latest_{c}" if c in first else c).desc_nulls_last() for c in order]
 
     def each(batch: DataFrame, _: int) -> None:
-        newest = [F.col(c).desc_nulls_last() for c in order]
-        rows = latest(batch, keys, *newest)
+        rows = batch.withColumns({f"latest_{c}": F.col(c) for c in first})
         old = table.read()
-        both = latest(old.unionByName(rows.select(*old.columns)), keys, *newest) if not rules else None
-        if both is not None:
-            table.write(both)
-        else:
-            table.merge(rows, keys, rules)
+        both = old.unionByName(rows.select(*old.columns))
+        least = {c: F.min(c).over(W.partitionBy(*keys)) for c in first}
+        table.write(latest(both.withColumns(least), keys, *newest))
 
     drain(stream, each, checkpoint)
 
 
 def parquet_stream(spark: SparkSession, folder: str, name: str, files: int = 4) -> DataFrame:
     """A table of a data folder as a stream, be it one file or a folder of them."""
-    from pathlib import Path
-
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
     read = spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
-    if Path(f"{folder}/{name}.parquet").is_dir():
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
         return read.parquet(f"{folder}/{name}.parquet")
     return read.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 

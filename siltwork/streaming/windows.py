@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltwork.operators.merge import Snapshots
 from siltwork.streaming.ingest import new_folder, parquet_stream
 
 
@@ -16,13 +17,17 @@ def tumbling(events: DataFrame, length: str = "1 hour", late: str = "2 hours") -
 
 
 def hourly(spark: SparkSession, folder: str) -> DataFrame:
-    """The windows of all events that are there, by a stream that ends when it has read them."""
-    out, checkpoint = new_folder(spark, "hourly"), new_folder(spark, "hourly-state")
-    stream = tumbling(parquet_stream(spark, folder, "events"))
+    """The windows of all events that are there, by a stream that ends when it has read them.
+
+    Update mode: only windows that changed are handed on and merged into the table, and state older than the watermark
+    is let go. Files may come in any order of time, so the watermark is far behind.
+    """
+    rows = Snapshots(spark, new_folder(spark, "hourly"), "start timestamp_ntz, event_type string, n bigint, value double")
+    stream = tumbling(parquet_stream(spark, folder, "events"), late="3650 days")
 
     def each(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+        rows.merge(batch, ["start", "event_type"])
 
-    query = stream.writeStream.outputMode("complete").foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", new_folder(spark, "hourly-state")).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(out)
+    return rows.read()

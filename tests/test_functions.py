@@ -74,14 +74,18 @@ CLAIM = {"claim": "A", "quote": "q"}
         (json.dumps({"items": [{"text": "C"}, {"claim": " "}, 5, None]}), [("C", "")]), ("[]", []), ("garbage", []), (None, []), ('{"claims": 3}', []), ("```JSON\n[\"x\"]```", [("x", "")]),
     ],
 )
-def test_claims_of_answers(text, want):
-    assert [(c["text"], c["quote"]) for c in answers.read_claims(text)] == want
+def test_claims_of_answers(spark, text, want):
+    got = spark.createDataFrame([(text,)], "t string").select(answers.claims_of("t").alias("c")).first()["c"]
+    assert [(c["text"], c["quote"]) for c in got] == want
 
 
-def test_entities_and_verdicts():
-    got = answers.read_entities('{"entities": [{"name": " Ann ", "type": "Person"}, {"name": "x", "entity_type": "planet"}, "Tool", {"name": ""}]}')
+def test_entities_and_verdicts(spark):
+    given = '{"entities": [{"name": " Ann ", "type": "Person"}, {"name": "x", "entity_type": "planet"}, "Tool", {"name": ""}]}'
+    got = spark.createDataFrame([(given,)], "t string").select(answers.entities_of("t").alias("e")).first()["e"]
     assert [(e["name"], e["type"]) for e in got] == [("Ann", "person"), ("x", "other"), ("Tool", "other")]
-    assert [answers.read_verdict(x) for x in ('{"same": true}', 'so {"same": 1} then', '{"same": false}', "yes", "[1]", None)] == [True, True, False, False, False, False]
+    said = ['{"same": true}', 'so {"same": 1} then', '{"same": false}', "yes", "[1]", None]
+    rows = spark.createDataFrame(list(enumerate(said)), "i int, t string").select("i", answers.same_of("t").alias("s")).orderBy("i").collect()
+    assert [r.s for r in rows] == [True, True, False, False, False, False]
 
 
 def test_vectors(spark):
