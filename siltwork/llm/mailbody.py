@@ -2,9 +2,13 @@
 
 A body is cut into lines with their quote depth (prefixes and HTML containers), the lines into blocks: paragraphs that
 are cut again where the layout changes, as at an introducing line, a closing formula or a name. Each block becomes a
-vector of contact density, quote depth, layout and wording, of how often the sender, any sender and the thread repeat
-its lines in the corpus, and is classified by gradient-boosted trees. The trees are fitted on a bounded sample of
-blocks whose layout leaves no doubt (labels are never given by hand); the rest of the work covers every mail.
+vector of contact density, quote depth, place and wording, of how often the sender, any sender and the thread repeat
+its lines in the corpus, and is classified by gradient-boosted trees. No label is given by hand: a block is not
+new where two views that know nothing of each other agree, what the layout makes of it and whether other mails hold its
+lines or its marks show that they are from one (a quotation, a footer or a signature comes back), and new where a
+layout without doubt says so. The verdict of the layout is no feature; blocks that it alone would set aside, and those
+it is in doubt of, are left to the trees. They are fitted on a bounded sample of labelled blocks; the rest of the work
+covers every mail.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from siltwork.session import cut
 #: Most labelled blocks the trees are fitted on, chosen by a hash of their mail.
 SAMPLE = 12_000
 #: Trees, their depth and the seed of their fit.
-TREES, DEPTH, SEED = 12, 4, 7
+TREES, DEPTH, SEED = 20, 5, 7
 #: Lines that come back less often than this in a scope are not looked up.
 LEAST = 2
 
@@ -40,13 +44,13 @@ DIVIDER = regex.compile(
     regex.I,
 )
 INTRO = regex.compile(
-    r"(?:on|at|am|le|el|il|den|vom)\b.*\d.*\b(?:wrote|writes|said|schrieb|écrit|escribió|dijo)\b.*:|.{2,120}(?:\b(?:wrote|writes|said|schrieb|a écrit|escribió)\b)[^.!?]{0,60}(?:\(?\d{1,4}[./-]\d{1,2}[./-]\d{1,4}\)?)?\s?:",
+    r"(?:on|at|am|le|el|il|em|op|den|vom)\b.*\d.*\b(?:wrote|writes|said|schrieb|écrit|escribió|dijo|scritto|escreveu|schreef|skrev)\b.*:|.{2,120}(?:\b(?:wrote|writes|said|schrieb|a écrit|escribió|ha scritto|escreveu|schreef|skrev)\b)[^.!?]{0,60}(?:\(?\d{1,4}[./-]\d{1,2}[./-]\d{1,4}\)?)?\s?:",
     regex.I,
 )
 #: An introducing line is no longer than this.
 INTRO_CHARS = 400
-STARTS = regex.compile(r"(?:on|at|am|le|el|il|den|vom)\b.*\d", regex.I)
-VERB = regex.compile(r"\b(?:wrote|writes|said|schrieb|écrit|escribió|dijo)\b", regex.I)
+STARTS = regex.compile(r"(?:on|at|am|le|el|il|em|op|den|vom)\b.*\d", regex.I)
+VERB = regex.compile(r"\b(?:wrote|writes|said|schrieb|écrit|escribió|dijo|scritto|escreveu|schreef|skrev)\b", regex.I)
 CLOSING = regex.compile(
     r"(?:best|kind|warm|kindest|warmest|with best|with kind)?\s?(?:regards|wishes)|best|many thanks|thanks(?: again| a lot| so much)?|thank you|cheers|talk soon|speak soon|see you soon|sincerely|yours(?: sincerely| truly| faithfully)?|all the best|take care"
     r"|mit (?:freundlichen|besten|herzlichen|lieben) grüßen|(?:viele|beste|liebe|herzliche|schöne|freundliche) grüße|grüße|(?:lieben |besten |schönen )?gruß|danke|vielen dank|bis bald"
@@ -356,7 +360,7 @@ def lay_out(mail: Mail) -> None:
 
 
 FEATURES = (
-    "quoted depth new intro history signature device disclaimer notice postscript box html lines words sentence_ends contacts density "
+    "quoted depth wrapped introduces below_intro below_closing device postscript box html lines words sentence_ends contacts density "
     "closing named greeting greets_sender separated top bottom short quotation disclaimer_words notice_words "
     "sender_repeats corpus_repeats thread_repeats"
 ).split()
@@ -370,7 +374,7 @@ class Block:
 
 
 def blocks_of(mail: Mail) -> list[Block]:
-    """Blocks in order, without the features of the corpus. Labels: 1 not new, 0 new, -1 in doubt."""
+    """Blocks in order, without the features of the corpus. Labels, as far as layout tells: 1 not new, 0 new, -1 in doubt."""
     groups: list[list[Line]] = []
     fresh, separated = True, False
     marks: list[bool] = []
@@ -387,6 +391,7 @@ def blocks_of(mail: Mail) -> list[Block]:
         groups[-1].append(x)
         fresh = separated = False
     out = []
+    below_intro = below_closing = 0
     for k, (g, parted) in enumerate(zip(groups, marks, strict=True)):
         texts = [x.text for x in g]
         whole = " ".join(texts)
@@ -400,8 +405,12 @@ def blocks_of(mail: Mail) -> list[Block]:
         named = any(names_sender(mail, t) for t in texts)
         told, noted = disclaims(whole), notifies(whole)
         depth = max(x.depth for x in g)
+        introduces, device, postscript = zone == "intro", bool(DEVICE.fullmatch(texts[0])), bool(POSTSCRIPT.match(texts[0]))
+        # How many blocks above an introducing line stands that no marks follow, and a closing formula or name.
+        below_intro = below_intro + 1 if below_intro and not depth and not introduces else int(zone == "history")
+        below_closing = 0 if depth or postscript or zone == "new" else below_closing + 1 if below_closing else int(closing or named or device or zone == "signature")
         values = [
-            depth > 0, min(depth, 6), zone == "new", zone == "intro", zone == "history", zone == "signature", zone == "device", zone == "disclaimer", zone == "notice", zone == "postscript",
+            depth > 0, min(depth, 6), zone == "quote" and not depth, introduces, min(below_intro, 6), min(below_closing, 6), device, postscript,
             any(x.signature_box for x in g), mail.is_html, min(n, 30), mean, ends / n, contacts, contacts / n,
             closing, named, bool(greeted), bool(greeted) and greeted in mail.names, parted, k / max(1, len(groups) - 1), (len(groups) - 1 - k) / max(1, len(groups) - 1),
             sum(w <= 4 for w in words) / n, sum(t[:1] in "“\"„«" for t in texts) / n, told, noted,
@@ -471,7 +480,14 @@ def with_repeats(found: DataFrame) -> DataFrame:
         .toDF("m", "v", "b", "r0", "r1", "r2")
     )
     same = F.col("mail_id").eqNullSafe(F.col("m")) & F.col("version").eqNullSafe(F.col("v")) & F.col("block").eqNullSafe(F.col("b"))
-    return found.join(sums, same).select("mail_id", "version", "block", "lines", "label", F.concat("features", F.array("r0", "r1", "r2")).alias("features"))
+    seen = found.join(sums, same)
+    # The second view: other mails hold some of the lines, or marks, fields of a header or a rule above show
+    # where they are from. Of
+    # new text it tells nothing, as replies quote that.
+    again = (F.col("r0") > 0) | (F.col("r1") > 0) | (F.col("r2") > 0)
+    shown = F.exists(F.array(*(F.col("features")[FEATURES.index(c)] for c in ("quoted", "wrapped", "introduces", "separated"))), lambda x: x > 0)
+    label = F.when((F.col("label") == 0) | ((F.col("label") == 1) & (again | shown)), F.col("label")).otherwise(-1)
+    return seen.select("mail_id", "version", "block", "lines", "label", label.alias("agreed"), F.concat("features", F.array("r0", "r1", "r2")).alias("features"))
 
 
 def not_new(mails: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -483,8 +499,8 @@ def not_new(mails: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """
     rows = mails.select("mail_id", "text", "html", "from_", "subject").dropDuplicates()
     all_ = cut(with_repeats(cut(blocks(rows), "blocks")), "features")
-    labelled = all_.where("label >= 0").orderBy(F.xxhash64("mail_id", "version", "block"), "mail_id", "version", "block").limit(sample)
-    fit_on = cut(labelled.select("features", F.col("label").cast("double").alias("label")), "sample")
+    labelled = all_.where("agreed >= 0").orderBy(F.xxhash64("mail_id", "version", "block"), "mail_id", "version", "block").limit(sample)
+    fit_on = cut(labelled.select("features", F.col("agreed").cast("double").alias("label")), "sample")
     points = fit_on.select(array_to_vector("features").alias("v"), "label").coalesce(2).cache()
     both = {r[0] for r in points.select("label").distinct().collect()}
     if len(both) == 2:
