@@ -144,6 +144,8 @@ BLANKS = regex.compile(f"(?:{'|'.join(sorted((w for w in BLANK if len(w) > 2 and
 #: Characters of the longest line that can be a byline.
 BYLINE_CHARS = 160
 ID = regex.compile(r"\b(?=[0-9a-f\-]*\d)[0-9a-f]{6,40}(?:-[0-9a-f]{1,40})*\b", regex.I)
+ADDRESS = regex.compile(r"//|\.[a-z]{2}").search
+DIGIT = regex.compile(r"\d").search
 HOST = regex.compile(r"(?:https?://\S+|\b[\w\-]{1,63}(?:\.[\w\-]{1,63})*\.[a-z]{2,24}\b)(?=[\s/.,;:!?)]|$)")
 SENTENCES = regex.compile(r"(?<=[.!?…])\s+|\s+[|·>•]\s+|\t+|\s{3,}").split
 _word = regex.compile(r"[\p{L}\p{M}][\p{L}\p{M}'’\-]*")
@@ -180,11 +182,11 @@ def filler(text: str, words: list[str]) -> bool:
     return len(words) >= 2 and sum(w in LATIN for w in words) >= 0.8 * len(words)
 
 
-def notice(text: str, words: list[str]) -> bool:
-    """Is this sentence worded like an error page or notice: a usual phrase, and hardly a word of anything else?"""
+def notice(words: list[str]) -> bool:
+    """Are these, of a sentence with one of the usual phrases, hardly words of anything but an error page or notice?"""
     content = [w for w in words if w not in STOP]
     known = notice_words()
-    return bool(content) and sum(w in known for w in content) >= NOTICE_SHARE * len(content) and has_phrase(text.lower())
+    return bool(content) and sum(w in known for w in content) >= NOTICE_SHARE * len(content)
 
 
 def words_of(text: str) -> list[str]:
@@ -192,6 +194,11 @@ def words_of(text: str) -> list[str]:
     return [w.lower() for w in WORDS(ID.sub(" ", HOST.sub(" ", text) if "." in text else text))]
 
 
+def words_without_ids(text: str) -> list[str]:
+    """Lower-case words without ids; most texts hold no digit, without which there is none."""
+    return WORDS((ID.sub(" ", text) if DIGIT(text) else text).lower())
+
+
 def unit_key(text: str) -> int:
     """Key of a part of a page: its letters, ids left out."""
     return linetemplates.line_key("".join(words_of(text)))
@@ -212,13 +219,13 @@ def open_sentences(line: str, told: bool) -> list[str]:
     if not told:
         # Most lines are told by their first sentence; the others are cut only if that one is set aside.
         first, *rest = SENTENCES(line, 1)
-        if first and not filler(first, words_of(first)):
+        if first and not filler(first, words_without_ids(first)):
             return [line]
-        return [x for x in SENTENCES(rest[0]) if x and not filler(x, words_of(x))] if rest else []
+        return [x for x in SENTENCES(rest[0]) if x and not filler(x, words_without_ids(x))] if rest else []
     out = []
     for x in filter(None, SENTENCES(line)):
-        words = words_of(x)
-        if not filler(x, words) and not notice(x, words):
+        words = words_without_ids(x) if ADDRESS(x) is None else words_of(x)
+        if not filler(x, words) and not (has_phrase(x.lower()) and notice(words_of(x))):
             out.append(x)
     return out
 
@@ -241,7 +248,7 @@ def hashed(text: str) -> int:
 class Marker:
     """Of a document with a letter: for its lines that wording does not set aside the pairs of line and part, one after
     the other (the part is the line itself, or a sentence of one with notices); and of its templates the quadruples of
-    wording, what the slot holds, and the kind, with the key of the line."""
+    wording, what the slot holds, the kind, and the key of the line."""
 
     def __call__(self, raw: list[str], own: list[str], keys: list[int]) -> tuple[list[int], list[int]]:
         text = "\n".join(raw)
@@ -273,7 +280,7 @@ class Marker:
                     slots += [hashed("by " + titled.group(2)), hashed(titled.group(1).lower()), PERSON, key]
                     continue
             for sentence in open_sentences(line, told):
-                marks[key, unit_key(sentence) if told or ID.search(sentence) else key] = None
+                marks[key, unit_key(sentence) if told or DIGIT(sentence) and ID.search(sentence) else key] = None
         return [k for pair in marks for k in pair], slots
 
 
