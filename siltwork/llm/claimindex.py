@@ -4,8 +4,8 @@ The accepted claims of each batch are indexed once, as an immutable segment of s
 (``assertions``). A text is taken as a ring, so that each of its words heads a suffix that holds the whole assertion:
 figures and denial, then the words from that one on. Suffixes lie in shards by their figures and first letters; a shard
 keeps them in order, with the ids of their claims. The claims of a new batch are looked up by bisection in the shards
-that can hold a match: by what a repeat must share exactly, which is the first name after the figures, else the figures,
-else a content word. Matches of a pair are added up to the part of the new claim that they cover, and the pairs left are
+that can hold a match: by what a repeat must share exactly, which is the first name after the figures, else the figures
+(none, where there are none). Matches of a pair are added up to the part of the new claim that they cover, and the pairs left are
 held against each other word by word; only for them are the texts of accepted claims read. Segments of similar size are
 merged, so their number stays logarithmic in the number of batches.
 """
@@ -55,7 +55,7 @@ def figures(a: assertions.Assertion) -> str:
     return " ".join([*a.figures, "!" if a.denied else "."]) + "@"
 
 
-def suffixes(a: assertions.Assertion, every: bool = True) -> list[tuple[str, str]]:
+def suffixes(a: assertions.Assertion) -> list[tuple[str, str]]:
     """(head, key) of each suffix: what its shard is told by, and the suffix. The first starts with the names, written
     together; a text that does not show its names is written together as a whole."""
     start, words = figures(a), list(a.words)
@@ -64,7 +64,7 @@ def suffixes(a: assertions.Assertion, every: bool = True) -> list[tuple[str, str
     out = []
     if not a.names:
         out.append((start, f"{start} {' '.join(words)}"))
-    for i, t in enumerate(tokens if every else tokens[:1]):
+    for i, t in enumerate(tokens):
         rest = glue.join(tokens[i:])
         key = f"{start}{rest}\n{' '.join(tokens[:i] if a.named else words)}"
         first = a.names[0] if a.names and not i else t
@@ -76,13 +76,11 @@ def suffixes(a: assertions.Assertion, every: bool = True) -> list[tuple[str, str
 
 def patterns(a: assertions.Assertion) -> list[tuple[str, str]]:
     """(head, pattern) of what a repeat must share exactly, as the beginning of one of its suffixes: the first name; without
-    one the figures; without figures, or where the names are not known, any of the words."""
+    one the figures, which may be none; where the names are not known, also any of the words."""
     start = figures(a)
-    shared = list(a.names[:1]) if a.names else list(a.words) if not a.figures or not a.named else []
+    shared = a.names[:1] if a.names else () if a.named else a.words
     out = [(start + t[:HEAD] if len(t) >= HEAD else f"{start}{t}\n", start + t) for t in shared if t not in "+-"]
-    if a.figures and not a.names or not out:
-        out.append((start, start))
-    return out
+    return out if a.names else [*out, (start, start)]
 
 
 def head_hash(head: str) -> int:
@@ -168,8 +166,7 @@ def with_suffixes(records: DataFrame) -> DataFrame:
         for b in batches:
             out: tuple[list, list, list] = ([], [], [])
             for claim, record in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                # Of the quote, which repeats the text in other words, only the whole is indexed.
-                for head, key in dict.fromkeys(x for k, a in enumerate(forms(record)) for x in suffixes(a, k == 0)):
+                for head, key in dict.fromkeys(x for a in forms(record) for x in suffixes(a)):
                     for column, value in zip(out, (claim, head_hash(head), key), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, (pa.string(), pa.int64(), pa.string()), strict=True)], ["claim_id", "head", "key"])
@@ -186,9 +183,10 @@ def with_patterns(records: DataFrame) -> DataFrame:
             out: tuple[list, ...] = ([], [], [], [])
             for new, record in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for a in forms(record):
-                    # Names may be written together on the other side, words of a text in one case may be names.
-                    words = list(a.words) if a.named else []
                     for head, pattern in patterns(a):
+                        # Words of a text in one case may be names, and names may be written together on the other side; by the
+                        # figures alone only assertions without names are found, whose words all count.
+                        words = list(a.words) if a.named or pattern == figures(a) else []
                         for column, value in zip(out, (head_hash(head), new, pattern, words), strict=True):
                             column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], ["head", "new", "pattern", "words"])
@@ -361,8 +359,7 @@ def repeats(claims: DataFrame) -> DataFrame:
     the history, a null claim_id is left out, a missing text is read from the quote, and claims without both repeat
     nothing. Equal claims of one batch are all accepted, and later ones pair with the smallest id among them. An empty
     table gives an empty result; other columns are ignored. Batches are taken in order, each with a search of the index
-    and a new segment; only their numbers, sizes and the folders they need come to the driver. Two claims with neither
-    figure nor name must share one content word as it is written.
+    and a new segment; only their numbers, sizes and the folders they need come to the driver.
     """
     spark = claims.sparkSession
     all_ = cut(with_records(claims), "claims").where(~F.col("record").rlike(r"^# [@?] [.]\t"))
