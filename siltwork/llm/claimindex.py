@@ -175,23 +175,23 @@ def with_suffixes(records: DataFrame) -> DataFrame:
 
 
 def with_patterns(records: DataFrame) -> DataFrame:
-    """(head, new, pattern, words) of all that is looked up for (claim_id, record)."""
-    kinds = (pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()))
+    """(batch_no, head, new, pattern, words) of all that is looked up for (claim_id, batch_no, record)."""
+    kinds = (pa.int32(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: tuple[list, ...] = ([], [], [], [])
-            for new, record in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for new, batch, record in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 for a in forms(record):
                     for head, pattern in patterns(a):
                         # Words of a text in one case may be names, and names may be written together on the other side; by the
                         # figures alone only assertions without names are found, whose words all count.
                         words = list(a.words) if a.named or pattern == figures(a) else []
-                        for column, value in zip(out, (head_hash(head), new, pattern, words), strict=True):
+                        for column, value in zip(out, (batch, head_hash(head), new, pattern, words), strict=True):
                             column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], ["head", "new", "pattern", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], ["batch_no", "head", "new", "pattern", "words"])
 
-    return records.select(F.col("claim_id"), "record").mapInArrow(run, "head bigint, new string, pattern string, words array<string>")
+    return records.select("claim_id", "batch_no", "record").mapInArrow(run, "batch_no int, head bigint, new string, pattern string, words array<string>")
 
 
 @dataclass
@@ -272,52 +272,69 @@ class ClaimIndex:
         rows = self.spark.read.schema(SCHEMA).parquet(f"{s.path}/rows")
         return rows if folders is None else rows.where(F.col("folder").isin(folders))
 
-    def _needed(self, rows: DataFrame, folder: Column, s: Segment) -> list[int]:
-        """The folders of a segment that rows need, at most FOLDERS."""
-        return [0] if s.folders == 1 else sorted(r[0] for r in rows.select(folder.alias("f")).distinct().collect())
+    def _each(self) -> Column:
+        """One row for each segment: seg, its place in the list, with its shards and folders."""
+        return F.explode(F.array(*(F.struct(F.lit(n).alias("seg"), F.lit(s.shards).alias("shards"), F.lit(s.folders).alias("folders")) for n, s in enumerate(self.segments)))).alias("s")
+
+    def _needed(self, places: DataFrame) -> list[list[int]]:
+        """The folders of each segment that (seg, folder) need, at most FOLDERS a segment, all found in one job."""
+        out: list[list[int]] = [[0] if s.folders == 1 else [] for s in self.segments]
+        if any(s.folders > 1 for s in self.segments):
+            for seg, folder in places.distinct().collect():
+                if self.segments[seg].folders > 1:
+                    out[seg].append(folder)
+        return [sorted(x) for x in out]
 
     def add(self, records: DataFrame, claims: int) -> None:
-        """Index (claim_id, record), so many rows, as a new segment, then merge segments of similar size."""
+        """Index (claim_id, record), so many rows, as a new segment, in one with the last ones if they are of similar size."""
         if not claims:
             return
-        self.segments.append(self._write(records, claims))
-        while len(self.segments) > 1 and self.segments[-2].claims < 2 * self.segments[-1].claims:
-            a, b = self.segments[-2:]
-            texts = [self._rows(s).where("record is not null").select("claim_id", "record") for s in (a, b)]
-            self.segments[-2:] = [self._write(texts[0].unionByName(texts[1]), a.claims + b.claims)]
+        kept, records = list(self.segments), records.select("claim_id", "record")
+        while kept and kept[-1].claims < 2 * claims:
+            s = kept.pop()
+            claims += s.claims
+            records = records.unionByName(self._rows(s).where("record is not null").select("claim_id", "record"))
+        self.segments = [*kept, self._write(records, claims)]
         self._publish()
 
-    def search(self, records: DataFrame) -> DataFrame:
+    def search(self, records: DataFrame, asked: DataFrame | None = None) -> DataFrame:
         """(new, claim_id) of each (claim_id, record) that repeats an indexed one: the claim that it repeats, the one of the
         smallest id if there are several. Reads the folders with shards or records that are asked for; which these are
-        comes to the driver, at most FOLDERS numbers a segment."""
-        asked = cut(with_patterns(records), "patterns")
-        matches: DataFrame | None = None
-        for s in self.segments:
-            placed = asked.withColumn("shard", F.pmod("head", F.lit(s.shards)).cast("int"))
-            needed = self._needed(placed, F.col("shard") % s.folders, s)
-            self.reads.append((len(needed), s.folders))
-            # Each part of a shard that is split is asked; what is asked of a shard by many is cut into blocks.
-            counts = placed.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("blocks"))
-            split = counts.join(self._split(s.path), "shard", "left") if s.shards > 1 else counts.withColumn("parts", F.lit(1))
-            parts = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
-            block = F.pmod(F.xxhash64("new", "pattern"), F.col("blocks")).alias("block")
-            each = placed.join(split, "shard").select("shard", "new", "pattern", "words", block, parts)
-            grouped = each.groupBy("shard", "part", "block").agg(F.collect_list(F.struct("new", "pattern", "words")).alias("asked"))
-            table = self._rows(s, needed).where("shard is not null").select("shard", "part", "keys", "claims")
-            found = grouped.join(table, ["shard", "part"]).select("asked", "keys", "claims").mapInArrow(find, "new string, claim_id string, covered int")
-            matches = found if matches is None else matches.unionByName(found)
-        if matches is None:
+        comes to the driver, at most FOLDERS numbers a segment. ``asked``: their patterns, if they are there already. All
+        segments are searched in one plan, so that neither plans nor jobs grow with their number."""
+        if not self.segments:
             return self.spark.createDataFrame([], "new string, claim_id string")
+        if asked is None:
+            asked = cut(with_patterns(records.withColumn("batch_no", F.lit(0))), "patterns")
+        each = asked.select("head", "new", "pattern", "words", self._each())
+        placed = each.select("s.seg", F.pmod("head", "s.shards").cast("int").alias("shard"), "s.folders", "new", "pattern", "words")
+        needed = self._needed(placed.select("seg", (F.col("shard") % F.col("folders")).alias("folder")))
+        self.reads += [(len(x), s.folders) for x, s in zip(needed, self.segments, strict=True)]
+        # Each part of a shard that is split is asked; what is asked of a shard by many is cut into blocks.
+        counts = placed.groupBy("seg", "shard").agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("blocks")).withColumn("parts", F.lit(1))
+        split: DataFrame | None = None
+        table: DataFrame | None = None
+        for n, s in enumerate(self.segments):
+            mine = self._rows(s, needed[n]).where("shard is not null").select(F.lit(n).alias("seg"), "shard", "part", "keys", "claims")
+            table = mine if table is None else table.unionByName(mine)
+            if s.shards > 1:
+                own = self._split(s.path).withColumn("seg", F.lit(n))
+                split = own if split is None else split.unionByName(own)
+        if split is not None:
+            counts = counts.drop("parts").join(split, ["seg", "shard"], "left")
+        parts = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
+        block = F.pmod(F.xxhash64("new", "pattern"), F.col("blocks")).alias("block")
+        grouped = placed.join(counts, ["seg", "shard"]).select("seg", "shard", "new", "pattern", "words", block, parts)
+        grouped = grouped.groupBy("seg", "shard", "part", "block").agg(F.collect_list(F.struct("new", "pattern", "words")).alias("asked"))
+        matches = grouped.join(table, ["seg", "shard", "part"]).select("asked", "keys", "claims").mapInArrow(find, "new string, claim_id string, covered int")
         covered = matches.groupBy("new", "claim_id").agg(F.sum("covered").alias("covered"))
         if any(s.folders > 1 for s in self.segments):
             covered = cut(covered, "matches")
-        asked_for = covered.select("claim_id").distinct()
+        needed = self._needed(covered.select("claim_id", self._each()).select("s.seg", F.pmod(F.xxhash64("claim_id"), F.col("s.folders")).cast("int").alias("folder")))
         known: DataFrame | None = None
-        for s in self.segments:
-            needed = self._needed(asked_for, F.pmod(F.xxhash64("claim_id"), F.lit(s.folders)).cast("int"), s)
-            table = self._rows(s, needed).where("record is not null").select("claim_id", F.col("record").alias("other"))
-            known = table if known is None else known.unionByName(table)
+        for s, folders in zip(self.segments, needed, strict=True):
+            texts = self._rows(s, folders).where("record is not null").select("claim_id", F.col("record").alias("other"))
+            known = texts if known is None else known.unionByName(texts)
         mine = records.select(F.col("claim_id").alias("new"), "record")
         pairs = covered.join(mine, "new").join(known, "claim_id").select("new", "claim_id", "record", "other")
         return pairs.mapInArrow(judge, "new string, claim_id string").groupBy("new").agg(F.min("claim_id").alias("claim_id"))
@@ -340,15 +357,27 @@ def with_records(claims: DataFrame) -> DataFrame:
     return one.mapInArrow(run, "claim_id string, batch_no int, record string")
 
 
+def accept(index: ClaimIndex, new: DataFrame, claims: int, asked: DataFrame | None = None) -> DataFrame | None:
+    """(new, claim_id) of those of (claim_id, record), so many rows of different records, that repeat an accepted one; the
+    others are accepted. None if nothing was accepted before."""
+    if not index.segments:
+        index.add(new, claims)
+        return None
+    hits = cut(index.search(new, asked), "hits")
+    found = hits.count()
+    index.add(new.join(hits.select(F.col("new").alias("claim_id")), "claim_id", "left_anti") if found else new, claims - found)
+    return hits
+
+
 def take(index: ClaimIndex, batch: DataFrame) -> DataFrame:
-    """(new, claim_id) of the claims of a batch (claim_id, record) that repeat an accepted one; the others are accepted.
+    """(new, record, claim_id) of the claims of a batch (claim_id, record) that repeat an accepted one; the others are accepted.
 
     Records that are equal are looked up once, under the smallest id among them; that id stands for them in the result.
     """
     new = cut(batch.groupBy("record").agg(F.min("claim_id").alias("claim_id")), "batch")
-    hits = cut(index.search(new), "hits")
-    fresh = new.join(hits.select(F.col("new").alias("claim_id")), "claim_id", "left_anti")
-    index.add(fresh, new.count() - hits.count())
+    hits = accept(index, new, new.count())
+    if hits is None:
+        return index.spark.createDataFrame([], "new string, record string, claim_id string")
     return hits.join(new.select(F.col("claim_id").alias("new"), "record"), "new").select("new", "record", "claim_id")
 
 
@@ -363,13 +392,18 @@ def repeats(claims: DataFrame) -> DataFrame:
     """
     spark = claims.sparkSession
     all_ = cut(with_records(claims), "claims").where(~F.col("record").rlike(r"^# [@?] [.]\t"))
-    numbers = sorted(r[0] for r in all_.select("batch_no").distinct().collect())
+    # Once for all batches: their different records, and what is looked up for them.
+    new = cut(all_.groupBy("batch_no", "record").agg(F.min("claim_id").alias("claim_id")), "batches", "batch_no")
+    sizes = sorted(tuple(r) for r in new.groupBy("batch_no").count().collect())
+    if len(sizes) < 2:
+        return spark.createDataFrame([], "claim_a string, claim_b string")
+    asked = cut(with_patterns(new.where(F.col("batch_no") > sizes[0][0])), "patterns", "batch_no")
     index = ClaimIndex(spark, f"{shared_dir(spark)}/siltwork/claims-{uuid.uuid4().hex}")
     found: DataFrame | None = None
-    for number in numbers:
-        hits = take(index, all_.where(F.col("batch_no") == number)).select("record", F.col("claim_id").alias("known"), F.lit(number).alias("batch_no"))
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        return spark.createDataFrame([], "claim_a string, claim_b string")
-    pairs = all_.join(found, ["record", "batch_no"])
+    for number, n in sizes:
+        hits = accept(index, new.where(F.col("batch_no") == number).select("claim_id", "record"), n, asked.where(F.col("batch_no") == number))
+        if hits is not None:
+            found = hits if found is None else found.unionByName(hits)
+    known = found.withColumnRenamed("claim_id", "known").join(new.withColumnRenamed("claim_id", "new"), "new").select("record", "batch_no", "known")
+    pairs = all_.join(known, ["record", "batch_no"])
     return pairs.select(F.least("claim_id", "known").alias("claim_a"), F.greatest("claim_id", "known").alias("claim_b")).distinct()

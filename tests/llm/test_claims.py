@@ -191,3 +191,20 @@ def test_without_figure_and_name_no_word_need_be_shared_as_written(spark, rows):
     data = [("a0", 0, "Silent meetings annoyed reviewers", None), ("a1", 1, "Sillent meetngs anoyed revviewers", None), ("a2", 1, "sillent meetngs anoyed revviewers", None), ("b1", 1, "Silent orchards pleased gardeners", None)]
     want = [("a0", "a1"), ("a0", "a2")]
     assert model(data) == want and rows(C.repeats(claims(spark, data))) == want
+
+
+def test_jobs_of_a_search_do_not_grow_with_the_segments(spark, tmp_path):
+    index = C.ClaimIndex(spark, str(tmp_path / "index"), shard=8)
+    for n in (40, 18, 8, 3, 1):
+        index.add(records(spark, [f"Acme{'x' * k} Mills cut item {k} by {n}.5 percent in 2020." for k in range(n)], f"b{n}-"), n)
+    assert len(index.segments) == 5 and sum(s.folders > 1 for s in index.segments) >= 2
+    status, jobs = spark.sparkContext.statusTracker(), []
+    for segments in (index.segments[:1], index.segments):
+        index.segments = segments
+        group = f"search-{len(segments)}"
+        spark.sparkContext.setJobGroup(group, "")
+        got = index.search(records(spark, ["Acmex Mills reduced item 1 by 40.5 percent in 2020."])).collect()
+        spark.sparkContext._jsc.clearJobGroup()
+        assert [r.claim_id for r in got] == ["b40-00001"]
+        jobs.append(len(status.getJobIdsForGroup(group)))
+    assert jobs[1] < 2 * jobs[0], jobs
