@@ -1,15 +1,26 @@
 """Lines that come back excessively within one source.
 
-Every partition parses its lines into a fixed-depth tree: source, number of letters, first token, last token, and at
-the leaf the templates. A template is a line whose runs of anything but letters are wildcard slots, so digits,
-punctuation, spacing and invisible characters never tell two lines apart; the tokens on the path are cut from the
-letters for the same reason. Trees are merged across partitions by adding the counts of equal templates, which is the
-only shuffle over lines and carries a hash and a count for each template of a partition, no text.
+Every partition parses its lines into a tree of fixed depth: source, number of tokens, first token, last token, and at
+the leaf the templates. A line goes to the template of its leaf with which it agrees in most positions, and positions in
+which the lines of a template differ become wildcards. The trees of all partitions are merged leaf by leaf in the same
+way, until no line can fit two templates of a leaf. Documents are counted by leaf, then by merged template, and what
+covers too few is dropped; under the templates that are left the lines are counted by their exact letters, which alone
+make two lines the same.
+
+Runs of anything but letters are slots that every template has anyway, so digits, punctuation, spacing and invisible
+characters never tell two lines apart; for the same reason tokens are cut from the letters and not at blanks.
+
+Counts are never too low on the way: all places of a line lie under one leaf and one merged template, whose documents
+are at least those of the line. The shuffles over lines carry hashes and counts, no text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import re
+from array import array
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
+from operator import eq, itemgetter
 
 import pyarrow as pa
 import regex
@@ -21,12 +32,19 @@ from siltwork.session import cut
 
 #: A line is excessive in a source from so many of its documents, and so large a share of them, on.
 LEAST_DOCS, LEAST_SHARE = 5, 0.03
-#: Leaves a worker holds before it hands its counts on and starts an empty tree. Counts add up, so nothing is lost.
-TREE_LEAVES = 200_000
-#: Letters of a token on the path.
-TOKEN = 3
+#: Lines a worker holds before it hands its templates on and starts an empty tree. Counts add up, so nothing is lost.
+TREE_LINES = 200_000
+#: Share of its positions in which a line agrees with a template that takes it in.
+SIMILAR = 0.5
+#: Templates of a leaf; a full one gives a line to the template nearest to it, which gets more wildcards.
+LEAF = 32
+#: Positions of a template. Of a line with more tokens, each position is a stretch of them.
+WIDTH = 16
 
 _not_letters = regex.compile(r"[^\p{L}\n]+").sub
+# Fixed value: a token ends with a frequent vowel, as those of a script with them are about as long as words, or at 8 letters.
+_tokens = re.compile("[^aeαεае]{0,7}[aeαεае]|[^aeαεае]{1,8}").findall
+_hash = xxhash.xxh32_intdigest
 _wrap = 1 << 63
 
 
@@ -35,47 +53,140 @@ def letters(text: str) -> list[str]:
     return _not_letters("", text).lower().split("\n")
 
 
+def _signed(h: int) -> int:
+    return h - 2 * _wrap if h >= _wrap else h
+
+
 def line_key(line: str) -> int:
     """64-bit key of a line's letters; 0 is kept for lines without any."""
-    if not line:
-        return 0
-    h = xxhash.xxh64_intdigest(line)
-    return (h - 2 * _wrap if h >= _wrap else h) or 1
+    return (_signed(xxhash.xxh64_intdigest(line)) or 1) if line else 0
+
+
+def positions(tokens: list[str]) -> bytes:
+    """The 32-bit hashes of a line's positions; 0 is kept for wildcards."""
+    n = len(tokens)
+    if n > WIDTH:
+        tokens = ["".join(tokens[i * n // WIDTH : (i + 1) * n // WIDTH]) for i in range(WIDTH)]
+    return array("I", [_hash(t) or 1 for t in tokens]).tobytes()
+
+
+def _each(tokens: bytes) -> memoryview:
+    return memoryview(tokens).cast("I")
+
+
+class Template:
+    """Positions, some of them wildcards, the documents they cover, and those of each line by its key."""
+
+    __slots__ = ("docs", "lines", "tokens")
+
+    def __init__(self, tokens: bytes) -> None:
+        self.tokens = tokens
+        self.docs = 0
+        self.lines: dict[int, int] = {}
+
+    def widen(self, tokens: bytes) -> None:
+        """Make wildcards of the positions that are not those of ``tokens``."""
+        self.tokens = array("I", [a if a == b else 0 for a, b in zip(_each(self.tokens), _each(tokens), strict=True)]).tobytes()
+
+    def meets(self, other: Template) -> bool:
+        """Whether a line can fit both templates."""
+        return all(a == b or not a or not b for a, b in zip(_each(self.tokens), _each(other.tokens), strict=True))
+
+
+def place(leaf: list[Template], tokens: bytes) -> Template:
+    """The template of ``leaf`` that takes a line or template in, widened to it; a new one if none is similar."""
+    own = _each(tokens)
+    best, most = None, -1
+    for t in leaf:
+        same = sum(map(eq, own, _each(t.tokens)))
+        if same > most:
+            best, most = t, same
+    if best is None or (most < SIMILAR * len(own) and len(leaf) < LEAF):
+        best = Template(tokens)
+        leaf.append(best)
+    elif most < len(own):
+        best.widen(tokens)
+    return best
+
+
+def merged(parts: Iterable[bytes]) -> list[bytes]:
+    """What each of the templates of one leaf becomes when the trees that hold them are merged.
+
+    Templates that one line can fit are made one, so that the lines of equal letters of all trees are under one template.
+    """
+    leaf: list[Template] = []
+    own = [place(leaf, p) for p in parts]
+    apart: list[Template] = []
+    into: dict[Template, Template] = {}
+    while leaf:
+        t = leaf.pop()
+        other = next((o for o in apart if t.meets(o)), None)
+        if other is None:
+            apart.append(t)
+        else:
+            other.widen(t.tokens)
+            into[t] = other
+            apart.remove(other)
+            leaf.append(other)
+    out = []
+    for t in own:
+        while t in into:
+            t = into[t]
+        out.append(t.tokens)
+    return out
 
 
 class TemplateTree:
-    """Counts the documents of every template under source, length, first token and last token."""
+    """Templates and their documents under source, number of tokens, first token and last token."""
 
     def __init__(self) -> None:
+        self._clear()
+
+    def _clear(self) -> None:
         self.root: dict = {}
-        self.leaves = 0
+        self.known: dict[object, dict[int, Template]] = {}
+        self.lines = 0
 
     def add(self, source: object, lines: dict[str, int]) -> None:
-        """Count one document's lines: their letters and keys, each line once."""
-        lengths = self.root.get(source)
-        if lengths is None:
-            lengths = self.root[source] = {}
+        """Parse one document's lines: their letters and keys, each line once."""
+        known = self.known.setdefault(source, {})
+        covering = set()
         for line, key in lines.items():
-            path = (len(line), line[:TOKEN], line[-TOKEN:])
-            leaf = lengths.get(path)
-            if leaf is None:
-                leaf = lengths[path] = {}
-            if key in leaf:
-                leaf[key] += 1
-            else:
-                leaf[key] = 1
-                self.leaves += 1
+            template = known.get(key)
+            if template is None:
+                tokens = _tokens(line)
+                firsts = self.root.setdefault(source, {}).setdefault(len(tokens), {})
+                leaf = firsts.setdefault(tokens[0], {}).setdefault(tokens[-1], [])
+                template = known[key] = place(leaf, positions(tokens))
+                template.lines[key] = 0
+                self.lines += 1
+            template.lines[key] += 1
+            covering.add(template)
+        for template in covering:
+            template.docs += 1
+
+    def templates(self) -> Iterator[tuple[object, int, Template]]:
+        """All (source, hash of the path, template), leaving the tree empty."""
+        for source, sizes in self.root.items():
+            for size, firsts in sizes.items():
+                for first, lasts in firsts.items():
+                    for last, leaf in lasts.items():
+                        path = _signed(xxhash.xxh64_intdigest(f"{size} {first} {last}"))
+                        for template in leaf:
+                            yield source, path, template
+        self._clear()
 
     def drain(self) -> Iterator[tuple[object, int, int]]:
         """All (source, key, documents), leaving the tree empty."""
-        for source, lengths in self.root.items():
-            for leaf in lengths.values():
-                for key, docs in leaf.items():
-                    yield source, key, docs
-        self.root, self.leaves = {}, 0
+        for source, _, template in self.templates():
+            for key, docs in template.lines.items():
+                yield source, key, docs
 
 
-SCAN = "source string, hash string, key bigint, docs int, doc_id bigint, lines array<bigint>, marks array<bigint>, slots array<bigint>"
+SCAN = (
+    "source string, hash string, path bigint, template binary, docs int, keys array<bigint>, key_docs array<int>, "
+    "doc_id bigint, lines array<bigint>, marks array<bigint>, slots array<bigint>"
+)
 #: Of a document's raw lines, their letters and keys: the lists kept as marks and slots.
 Mark = Callable[[list[str], list[str], list[int]], tuple[list[int], list[int]]]
 
@@ -83,26 +194,28 @@ Mark = Callable[[list[str], list[str], list[int]], tuple[list[int], list[int]]]
 def scan(docs: DataFrame, mark: Callable[[], Mark] | None = None) -> DataFrame:
     """One pass over all texts: a row for each document and, mixed in, a row for each template of a partition's tree.
 
-    Document rows have doc_id and the keys of their lines (0: no letters); template rows have key and docs. ``hash``
-    stands for the source where that is null, to be resolved later without moving any text. With ``mark``, called once
-    on each worker, documents with a letter have marks and slots in place of lines.
+    Document rows have doc_id and the keys of their lines (0: no letters); template rows have the hash of their path,
+    their positions, the documents they cover, and their lines' keys and documents. ``hash`` stands for the source where
+    that is null, to be resolved later without moving any text. With ``mark``, called once on each worker, documents with
+    a letter have marks and slots in place of lines.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, marker = TemplateTree(), mark() if mark else None
         names = [x.split(" ")[0] for x in SCAN.split(", ")]
         many = pa.list_(pa.int64())
-        kinds = [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64(), many, many, many]
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int32(), many, pa.list_(pa.int32()), pa.int64(), many, many, many]
 
         def rows(columns: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
         def grown() -> pa.RecordBatch:
-            flat = list(tree.drain())
-            n = len(flat)
+            flat = list(tree.templates())
             own = [s[0] for s, _, _ in flat]
             instead = [s[1] for s, _, _ in flat]
-            return rows([own, instead, [k for _, k, _ in flat], [d for _, _, d in flat], *[[None] * n] * 4])
+            found = [t for _, _, t in flat]
+            counts = [[t.tokens for t in found], [t.docs for t in found], [list(t.lines) for t in found], [list(t.lines.values()) for t in found]]
+            return rows([own, instead, [p for _, p, _ in flat], *counts, *[[None] * len(flat)] * 4])
 
         for b in batches:
             ids, texts, sources, hashes = (c.to_pylist() for c in b.columns)
@@ -117,10 +230,10 @@ def scan(docs: DataFrame, mark: Callable[[], Mark] | None = None) -> DataFrame:
                 marks.append(kept[0])
                 slots.append(kept[1])
             n = len(ids)
-            yield rows([sources, hashes, [None] * n, [None] * n, ids, keys, marks, slots])
-            if tree.leaves >= TREE_LEAVES:
+            yield rows([sources, hashes, *[[None] * n] * 5, ids, keys, marks, slots])
+            if tree.lines >= TREE_LINES:
                 yield grown()
-        if tree.leaves:
+        if tree.lines:
             yield grown()
 
     rows = docs.select(
@@ -149,11 +262,58 @@ def resolve(rows: DataFrame, fallback: DataFrame) -> DataFrame:
     return known.unionByName(open_.withColumn("source", F.col("found")).drop("hash", "found"))
 
 
+def merge_leaves(templates: DataFrame) -> DataFrame:
+    """(source, path, template, whole, docs): what each template is in the merged tree, leaf by leaf.
+
+    A task holds the templates of one leaf at a time, of which a partition has no more than ``LEAF``, and none of their lines.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        out: list[tuple] = []
+
+        def rows() -> pa.RecordBatch:
+            kinds = [pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
+            names = ["source", "path", "template", "whole", "docs"]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+        for _, leaf in groupby(flat, itemgetter(0, 1)):
+            parts = list(leaf)
+            wholes = merged(p[2] for p in parts)
+            out += [(*p[:3], w, p[3]) for p, w in zip(parts, wholes, strict=True)]
+            if len(out) >= 10_000:
+                yield rows()
+                out.clear()
+        if out:
+            yield rows()
+
+    equal = templates.groupBy("source", "path", "template").agg(F.sum("docs").alias("docs"))
+    leaves = equal.repartition("source", "path").sortWithinPartitions("source", "path", "template")
+    return leaves.mapInArrow(run, "source string, path bigint, template binary, whole binary, docs bigint")
+
+
 def excessive(scanned: DataFrame, fallback: DataFrame, totals: DataFrame, least_docs: int = LEAST_DOCS, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(source, key) of the templates that cover too many documents, from the merged trees."""
-    trees = resolve(scanned.where("key is not null").select("source", "hash", "key", "docs"), fallback)
-    merged = trees.where("source is not null").groupBy("source", "key").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs)
-    return merged.join(totals, "source").where(F.col("docs") >= F.lit(least_share) * F.col("total")).select("source", "key")
+    """(source, key) of the lines that are in too many documents, by way of the merged tree.
+
+    Leaves that cover too few documents are dropped before their templates are moved, merged templates that do before
+    their lines are. A document under two templates that are merged counts twice there, and once for each line.
+    """
+    totals = cut(totals, "totals")
+
+    def enough(counts: DataFrame, *by: str) -> DataFrame:
+        n = counts.groupBy("source", *by).agg(F.sum("docs").alias("n")).where(F.col("n") >= least_docs)
+        return n.join(totals, "source").where(F.col("n") >= F.lit(least_share) * F.col("total")).select("source", *by)
+
+    trees = scanned.where("path is not null").select("source", "hash", "path", "template", "docs", "keys", "key_docs")
+    trees = resolve(trees, fallback).where("source is not null")
+    # Written first, so that its size is known when the join is planned: templates stay where they are if it is small.
+    paths = cut(enough(trees, "path"), "paths")
+    held = cut(trees.join(paths, ["source", "path"], "left_semi"), "leaves")
+    whole = cut(merge_leaves(held), "templates")
+    covering = whole.join(enough(whole, "path", "whole"), ["source", "path", "whole"], "left_semi")
+    under = held.join(covering, ["source", "path", "template"], "left_semi")
+    lines = under.select("source", F.explode(F.arrays_zip("keys", "key_docs")).alias("of")).select("source", F.col("of.keys").alias("key"), F.col("of.key_docs").alias("docs"))
+    return enough(lines, "key")
 
 
 def totals(docs: DataFrame, fallback: DataFrame) -> DataFrame:

@@ -64,6 +64,65 @@ def test_tree_flushes_without_loss(monkeypatch):
     assert list(tree.drain()) == []
 
 
+def parse(*documents):
+    """The tree of documents given as lists of letters, each line's key its hash."""
+    tree = L.TemplateTree()
+    for lines in documents:
+        tree.add("s", {x: L.line_key(x) for x in lines})
+    return tree
+
+
+def test_differing_positions_become_wildcards():
+    a, b, other = "dearfriendannathanksforreading", "dearfrientannathanksforreading", "de" + "ka" * 7 + "ding"
+    ((_, _, template),) = parse([a], [a, b], [b]).templates()
+    own = [set(x) for x in zip(memoryview(L.positions(L._tokens(a))).cast("I"), memoryview(L.positions(L._tokens(b))).cast("I"), strict=True)]
+    assert [x if x else None for x in memoryview(template.tokens).cast("I")] == [min(x) if len(x) == 1 else None for x in own]
+    assert sum(len(x) == 2 for x in own) == 1
+    assert (template.docs, template.lines) == (3, {L.line_key(a): 2, L.line_key(b): 2})
+    assert len(list(parse([a], [b], [other]).templates())) == 2
+
+
+@pytest.mark.parametrize("full", [1, 2, 32])
+def test_merged_trees_cover_every_line(monkeypatch, full):
+    monkeypatch.setattr(L, "LEAF", full)
+    rng = random.Random(full)
+    lines = ["so" + "".join(rng.choice(["ka", "te", "noma", "le"]) for _ in range(rng.choice([3, 6, 25]))) + "re" for _ in range(300)]
+    trees, docs = [], defaultdict(int)
+    for _ in range(6):
+        documents = [set(rng.sample(lines, 4)) for _ in range(60)]
+        for x in [x for d in documents for x in d]:
+            docs[L.line_key(x)] += 1
+        trees.append(list(parse(*documents).templates()))
+    leaves = defaultdict(list)
+    for _, path, template in [t for tree in trees for t in tree]:
+        leaves[path].append(template)
+    under = {}
+    for path, parts in leaves.items():
+        wholes = L.merged(p.tokens for p in parts)
+        covered = defaultdict(int)
+        for p, w in zip(parts, wholes, strict=True):
+            covered[w] += p.docs
+            for key in p.lines:
+                assert under.setdefault(key, (path, w)) == (path, w)
+        for p, w in zip(parts, wholes, strict=True):
+            assert all(covered[w] >= docs[key] for key in p.lines)
+        assert not any(a is not b and a.meets(b) for a in map(L.Template, covered) for b in map(L.Template, covered) if a.tokens != b.tokens)
+    assert set(under) == set(docs)
+    assert len(set(under.values())) < len(docs)
+
+
+def test_lines_come_through_merged_templates(spark, rows):
+    # Six documents in as many partitions: no tree of one holds more than a document of the line, or of the template.
+    texts = [f"Thank A{c}na for reading this letter\nSame line for all of them" for c in "bcdfgh"]
+    docs = spark.createDataFrame([(i, t, "s", None, "") for i, t in enumerate(texts)], DOCS).repartition(6, "doc_id")
+    empty = spark.createDataFrame([], ARTIFACTS), spark.createDataFrame([], MANIFEST)
+    parts = L.scan(docs).where("path is not null").select("source", "path", "template", "docs")
+    whole = L.merge_leaves(parts).groupBy("path", "whole").agg({"docs": "sum"}).collect()
+    assert sorted(r[2] for r in whole) == [6, 6]
+    # One template covers all the thanks, but no line of it is in five documents.
+    assert rows(L.repeated_lines(docs, *empty)) == [(i, 2) for i in range(6)]
+
+
 @pytest.mark.parametrize("text, want", [("A-1 b\n2", ["ab", ""]), ("Ⅷ½x", ["x"]), ("é​É", ["éé"])])
 def test_letters(text, want):
     assert L.letters(text) == want
