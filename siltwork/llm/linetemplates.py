@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 from itertools import groupby
 from operator import eq, itemgetter
 
@@ -42,9 +43,8 @@ LEAF = 32
 WIDTH = 16
 
 _not_letters = regex.compile(r"[^\p{L}\n]+").sub
-# Fixed value: a token ends with a frequent vowel, as those of a script with them are about as long as words, or at 8 letters.
-_tokens = re.compile("[^aeαεае]{0,7}[aeαεае]|[^aeαεае]{1,8}").findall
-_hash = xxhash.xxh32_intdigest
+# Fixed value: a token ends with a frequent vowel from its third letter on, or at 8 letters, so it is about as long as a word.
+_tokens = re.compile("..[^aeαεае]{0,5}[aeαεае]?|.").findall
 _wrap = 1 << 63
 
 
@@ -62,12 +62,16 @@ def line_key(line: str) -> int:
     return (_signed(xxhash.xxh64_intdigest(line)) or 1) if line else 0
 
 
+@lru_cache(1024)
+def _stretches(n: int) -> list[slice]:
+    return [slice(i * n // WIDTH, (i + 1) * n // WIDTH) for i in range(WIDTH)]
+
+
 def positions(tokens: list[str]) -> bytes:
-    """The 32-bit hashes of a line's positions; 0 is kept for wildcards."""
-    n = len(tokens)
-    if n > WIDTH:
-        tokens = ["".join(tokens[i * n // WIDTH : (i + 1) * n // WIDTH]) for i in range(WIDTH)]
-    return array("I", [_hash(t) or 1 for t in tokens]).tobytes()
+    """The 32-bit hashes of a line's positions, of which 0 stands for a wildcard."""
+    if len(tokens) > WIDTH:
+        tokens = ["".join(tokens[x]) for x in _stretches(len(tokens))]
+    return b"".join(map(xxhash.xxh32_digest, tokens))
 
 
 def _each(tokens: bytes) -> memoryview:
@@ -149,13 +153,13 @@ class TemplateTree:
 
     def add(self, source: object, lines: dict[str, int]) -> None:
         """Parse one document's lines: their letters and keys, each line once."""
-        known = self.known.setdefault(source, {})
+        known, sizes = self.known.setdefault(source, {}), self.root.setdefault(source, {})
         covering = set()
         for line, key in lines.items():
             template = known.get(key)
             if template is None:
                 tokens = _tokens(line)
-                firsts = self.root.setdefault(source, {}).setdefault(len(tokens), {})
+                firsts = sizes.setdefault(len(tokens), {})
                 leaf = firsts.setdefault(tokens[0], {}).setdefault(tokens[-1], [])
                 template = known[key] = place(leaf, positions(tokens))
                 template.lines[key] = 0

@@ -73,7 +73,7 @@ def parse(*documents):
 
 
 def test_differing_positions_become_wildcards():
-    a, b, other = "dearfriendannathanksforreading", "dearfrientannathanksforreading", "de" + "ka" * 7 + "ding"
+    a, b, other = "dearfriendannathanksforreading", "dearfrientannathanksforreading", "dea" + "kka" * 5 + "ading"
     ((_, _, template),) = parse([a], [a, b], [b]).templates()
     own = [set(x) for x in zip(memoryview(L.positions(L._tokens(a))).cast("I"), memoryview(L.positions(L._tokens(b))).cast("I"), strict=True)]
     assert [x if x else None for x in memoryview(template.tokens).cast("I")] == [min(x) if len(x) == 1 else None for x in own]
